@@ -7,9 +7,23 @@ from pyspark.sql import functions as F
 
 from orrery.operators.regrid import READ, regular_grid
 from orrery.operators.spikes import flag_spikes
+from orrery.functions.time import leap_rows
+from orrery.operators.timestamps import estimate_offset_history, normalise_times, readings
 from orrery.session import table
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Records with exactly one possible instant and its GPST in milliseconds."""
+    t = normalise_times(table(spark, base, "epoch_stamp"), table(spark, base, "feed_clock"), table(spark, base, "leap_second"))
+    return t.where("status = 'resolved'").select("rec_id", F.floor((F.col("gpst_us") + 500) / 1000).cast("long").alias("gpst_ms"))
+
+
+def p3_offset_history(spark: SparkSession, base: str) -> DataFrame:
+    """The offset history each feed's civil times fit best, told by the ingestion times alone."""
+    read = readings(table(spark, base, "epoch_stamp"), "rec_id", "gpswk", "seconds", ["Time", "ReferenceTimeGPST"], "feed", "logged_at")
+    return estimate_offset_history(read, leap_rows(table(spark, base, "leap_second")))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Rows whose prefit or postfit is not finite, a spike or held."""
     return flag_spikes(table(spark, base, "residual")).select("res_id").distinct()
@@ -26,7 +40,7 @@ def p6_grid(spark: SparkSession, base: str) -> DataFrame:
     return g.select("site", "slot_s", "status", *[F.round(c, 6).alias(c) for c in ("dN", "dE", "dU")])
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+QUERIES = {"p3_found": p3_found, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
 
 SQL = {
     "p6_found": """

@@ -51,3 +51,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def sized(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The side of a join, broadcast only where a count shows it has at most ``rows`` rows; otherwise left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
