@@ -9,6 +9,7 @@ from orrery.operators.regrid import READ, regular_grid
 from orrery.operators.spikes import flag_spikes
 from orrery.functions.time import leap_rows
 from orrery.operators.timestamps import estimate_offset_history, normalise_times, readings
+from orrery.operators.units import harmonise_delays
 from orrery.session import table
 
 
@@ -24,6 +25,14 @@ def p3_offset_history(spark: SparkSession, base: str) -> DataFrame:
     return estimate_offset_history(read, leap_rows(table(spark, base, "leap_second")))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Readings not recorded in metres or square metres, converted, in 0.1 mm or 0.01 mm2."""
+    lengths, variances = harmonise_delays(table(spark, base, "trop_bern"), table(spark, base, "trop_pea"))
+    a = lengths.where("value_m IS NOT NULL AND NOT isnan(value_m) AND factor <> 1.0").select("field", F.col("bern_id").alias("row_id"), F.floor(F.col("value_m") * 1e4 + 0.5).cast("long").alias("amount"))
+    v = variances.where("value_m2 IS NOT NULL AND NOT isnan(value_m2) AND NOT (factor = 1.0 AND power = 1)")
+    return a.unionByName(v.select(F.lit("trop_var").alias("field"), F.col("pea_id").alias("row_id"), F.floor(F.col("value_m2") * 1e8 + 0.5).cast("long").alias("amount")))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Rows whose prefit or postfit is not finite, a spike or held."""
     return flag_spikes(table(spark, base, "residual")).select("res_id").distinct()
@@ -40,7 +49,7 @@ def p6_grid(spark: SparkSession, base: str) -> DataFrame:
     return g.select("site", "slot_s", "status", *[F.round(c, 6).alias(c) for c in ("dN", "dE", "dU")])
 
 
-QUERIES = {"p3_found": p3_found, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
 
 SQL = {
     "p6_found": """
