@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.time import week_tow_us
 from orrery.llm import quantiles as Q
+from orrery.llm.leaks import find_leaks
 from orrery.llm.nearest import first_delivery, nearest
 from orrery.operators.units import number_of
 from orrery.session import micros, table
@@ -39,7 +40,12 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return nearest(left.withColumn("t", micros("datetime")), right, "site", "bern_id", "pea_id", "t", "t", 150.0).select("bern_id", "pea_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with at least twelve consecutive words of an item's text."""
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_item")).select("item_id", "doc_id").distinct()
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p8_found": p8_found}
 
 _P1_SKETCH = """
 SELECT sig, sat,
