@@ -9,6 +9,7 @@ from orrery.functions.time import week_tow_us
 from orrery.llm import quantiles as Q
 from orrery.llm.leaks import find_leaks
 from orrery.llm.nearest import first_delivery, nearest
+from orrery.llm.spam import score_pages
 from orrery.operators.units import number_of
 from orrery.session import micros, table
 
@@ -45,7 +46,12 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_item")).select("item_id", "doc_id").distinct()
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents scored as spam."""
+    return score_pages(table(spark, base, "documents")).where("score > 0.5").select("doc_id")
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p8_found": p8_found, "p9_found": p9_found}
 
 _P1_SKETCH = """
 SELECT sig, sat,
