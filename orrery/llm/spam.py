@@ -40,6 +40,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _kind(u: str, words: list[str], stops: int) -> str:
+    """A unit's kind; a unit without a sentence's end needs two different function words to be one ('pas cher' is none)."""
     if _STRUCTURE.match(u):
         return "structure"
     if len(_PRICE.findall(u)) and stops <= 1 + len(words) // 6:
@@ -52,7 +53,7 @@ def _kind(u: str, words: list[str], stops: int) -> str:
         return "sentence" if told else "link"
     if _TAG.search(u):
         return "tag" if stops <= len(words) // 8 else "sentence"
-    if (u.rstrip().endswith((".", "?", "!")) and len(words) >= 3) or (stops >= 1 and len(words) >= 4 and stops * 12 >= len(words)):
+    if (u.rstrip().endswith((".", "?", "!")) and len(words) >= 3) or (len(words) >= 4 and stops * 12 >= len(words) and len(STOPWORDS.intersection(words)) >= 2):
         return "sentence"
     return "short"
 
