@@ -9,6 +9,7 @@ from orrery.functions.time import week_tow_us
 from orrery.llm import quantiles as Q
 from orrery.llm.leaks import find_leaks
 from orrery.llm.nearest import first_delivery, nearest
+from orrery.llm.packing import pack, token_sizes
 from orrery.llm.spam import score_pages
 from orrery.operators.units import number_of
 from orrery.session import micros, table
@@ -41,6 +42,18 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return nearest(left.withColumn("t", micros("datetime")), right, "site", "bern_id", "pea_id", "t", "t", 150.0).select("bern_id", "pea_id")
 
 
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Where each document's tokens lie, for each capacity."""
+    return pack(token_sizes(table(spark, base, "documents")), table(spark, base, "pack_target")).withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers, tokens and the share of their room used, for each capacity."""
+    c = p7_containers(spark, base).groupBy("target").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    g = table(spark, base, "pack_target")
+    return c.join(g, "target").select("target", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("used"))
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents with at least twelve consecutive words of an item's text."""
     return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_item")).select("item_id", "doc_id").distinct()
@@ -51,7 +64,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return score_pages(table(spark, base, "documents")).where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 
 _P1_SKETCH = """
 SELECT sig, sat,
