@@ -145,11 +145,10 @@ def score_pages(
     page = F.col("x")[0]
     if classes == 2:
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxBins=64).fit(train)
-        known = model.transform(every.where("x IS NOT NULL").withColumn("features", array_to_vector("x")))
+        zeros = F.array(*[F.lit(0.0)] * len(FEATURES))
+        every = model.transform(every.withColumn("features", array_to_vector(F.coalesce("x", zeros))))
         page = vector_to_array("probability")[1]
-    else:
-        known = every.where("x IS NOT NULL")
-    scored = known.select("d", "host", page.alias("page")).unionByName(every.where("x IS NULL").select("d", "host", F.lit(0.0).alias("page")))
+    scored = every.select("d", "host", F.when(F.col("x").isNull(), 0.0).otherwise(page).alias("page"))
     scored = checkpointed(scored)
     hosts = scored.groupBy("host").agg(F.sum("page").alias("s"), F.count("*").alias("n"))
     overall = hosts.agg(F.sum("s") / F.sum("n")).first()[0] or 0.0
