@@ -1,28 +1,24 @@
-"""Queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from orrery.operators.stats import matrix_with_margins
+from orrery.plans import relational
+from orrery.plans.util import q6, rounded
 from orrery.session import table
 
 
-def residual_matrix(spark: SparkSession, base: str) -> DataFrame:
-    v = F.col("value")
-    return (
-        table(spark, base, "events")
-        .cube("user_id", "event_type")
-        .agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rms"), F.grouping_id().cast("int").alias("margin"))
-    )
+def residual_matrix(spark, base):
+    """Mean, spread and rms per cell, per row, per column and over all."""
+    return rounded(matrix_with_margins(table(spark, base, "events"), "user_id", "event_type", "value"), "mean", "std", "rms")
 
 
 QUERIES = {"residual_matrix": residual_matrix}
-
 SQL = {
-    "residual_matrix": """
-SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-       round(sqrt(avg(value * value)), 6) AS rms, CAST(grouping(user_id, event_type) AS INTEGER) AS margin
-FROM events GROUP BY CUBE (user_id, event_type)
-""",
+    "residual_matrix": f"""SELECT user_id, event_type, count(*) AS n, {q6("avg(value)")} AS mean, {q6("stddev_samp(value)")} AS std, {q6("sqrt(avg(value * value))")} AS rms,
+CAST(grouping(user_id, event_type) AS INTEGER) AS margin FROM events GROUP BY CUBE (user_id, event_type)"""
 }
+for _m in (relational,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
