@@ -23,12 +23,13 @@ def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 6) -> tuple[
     """(latitude, longitude, height); the iteration for z converges to under 1e-6 m within six rounds anywhere outside the core."""
     e2 = FE * (2 - FE)
     r2 = x * x + y * y
-    zk = z
-    v = F.lit(RE)
-    for _ in range(rounds):
-        s = zk / F.sqrt(r2 + zk * zk)
-        v = RE / F.sqrt(1 - e2 * s * s)
-        zk = z + v * e2 * s
+
+    def curvature(zk: Column) -> Column:
+        return RE / F.sqrt(1 - e2 * zk * zk / (r2 + zk * zk))
+
+    # a fold keeps the expression one step long
+    zk = F.aggregate(F.array_repeat(F.lit(0), rounds), z, lambda a, _: z + curvature(a) * e2 * a / F.sqrt(r2 + a * a))
+    v = curvature(zk)
     lat = F.when(r2 > 1e-12, F.atan(zk / F.sqrt(r2))).otherwise(F.signum(z) * math.pi / 2)
     lon = F.when(r2 > 1e-12, F.atan2(y, x)).otherwise(0.0)
     return lat, lon, F.sqrt(r2 + zk * zk) - v

@@ -140,10 +140,7 @@ def shapiro(rs: Column, rr: Column, rng: Column, mu: float = 3.986004418e14) ->
 
 def kepler_anomaly(m: Column, e: Column, rounds: int = 12) -> Column:
     """Eccentric anomaly by a fixed number of Newton steps (converged for e under 0.9)."""
-    x = m + e * F.sin(m)
-    for _ in range(rounds):
-        x = x - (x - e * F.sin(x) - m) / (1 - e * F.cos(x))
-    return x
+    return F.aggregate(F.array_repeat(F.lit(0), rounds), m + e * F.sin(m), lambda x, _: x - (x - e * F.sin(x) - m) / (1 - e * F.cos(x)))
 
 
 def protection_levels(p_ee: Column, p_nn: Column, p_en: Column, p_uu: Column, k_h: float = 6.0, k_v: float = 5.33) -> tuple[Column, Column]:
