@@ -18,6 +18,12 @@ P1_AT = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 P1_ACCURACY = 0.01
 
 
+def p1_daily_sketch(spark: SparkSession, base: str) -> DataFrame:
+    """The partial results of single days: counts of postfit per signal, satellite and signed bucket, ready to be combined."""
+    r = table(spark, base, "residual").withColumn("day", F.to_date("datetime").cast("string"))
+    return Q.sketch(r, ["sig", "sat", "day"], "postfit", P1_ACCURACY)
+
+
 def p1_percentiles(spark: SparkSession, base: str) -> DataFrame:
     """Percentiles of postfit per signal and satellite, from sketches of single days."""
     r = table(spark, base, "residual").withColumn("day", F.to_date("datetime"))
@@ -64,7 +70,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return score_pages(table(spark, base, "documents")).where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_daily_sketch": p1_daily_sketch, "p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 
 _P1_SKETCH = """
 SELECT sig, sat,
@@ -76,6 +82,7 @@ FROM residual WHERE postfit IS NOT NULL GROUP BY ALL
 """
 
 SQL = {
+    "p1_daily_sketch": _P1_SKETCH.replace("SELECT sig, sat,", "SELECT sig, sat, CAST(CAST(datetime AS DATE) AS VARCHAR) AS day,"),
     "p1_sketch": _P1_SKETCH,
     "p1_percentiles": f"""
 WITH s AS ({_P1_SKETCH}), f AS (SELECT * FROM s WHERE sgn IS NOT NULL),
