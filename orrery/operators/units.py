@@ -132,10 +132,12 @@ def harmonise_delays(bern: DataFrame, pea: DataFrame) -> tuple[DataFrame, DataFr
         "*", number_of(F.col("_zt")).alias("_z"), clean_label(label_of(F.col("_zt"))).alias("_zl"),
         number_of(F.col("_st")).alias("_s"), clean_label(label_of(F.col("_st"))).alias("_sl"), clean_label(F.col("_u")).alias("_ul"),
     )
-    b = b.withColumn("_label", F.coalesce("_zl", "_ul"))
+    b = b.withColumn("_label", F.coalesce("_zl", "_ul")).withColumns({f"{c}f": length_factor(F.col(c)) for c in ("_zl", "_sl", "_ul")})
     b = b.withColumn("_node", F.when(F.col("_label").isNotNull(), F.concat(F.lit("ztd|"), "_label")).otherwise(F.concat(F.lit("ztd|none|"), magnitude(F.col("_z")))))
     us = F.coalesce(micros("datetime"), (F.lit(315_964_800) + F.col("gpswk").cast("long") * 604_800) * 1_000_000 + F.round(F.col("seconds") * 1e6).cast("long"))
     p = pea.select("pea_id", "site", F.floor(us / hour).alias("_h"), F.col("trop_value").alias("_tv"), F.col("trop_var").alias("_v"), clean_label(F.col("var_unit")).alias("_label"))
+    told, square = variance_form(F.col("_label"))
+    p = p.withColumns({"_told": told, "_power": F.when(F.col("_label").isNotNull(), square)})
     p = p.withColumn("_node", F.when(F.col("_label").isNotNull(), F.concat(F.lit("var|"), "_label")).otherwise(F.concat(F.lit("var|none|"), magnitude(F.col("_v")))))
 
     ref = p.where("_tv IS NOT NULL AND NOT isnan(_tv)").groupBy("site", "_h").agg(F.avg("_tv").alias("v")).withColumn("node", F.lit("trop_value"))
@@ -144,17 +146,19 @@ def harmonise_delays(bern: DataFrame, pea: DataFrame) -> tuple[DataFrame, DataFr
     spread = spread.select("site", "_h", F.col("_node").alias("node"), F.col("_s").alias("v"))
     var = p.where("_v > 0 AND _node IS NOT NULL").groupBy("site", "_h", F.col("_node").alias("node")).agg(F.avg("_v").alias("v"))
     edges = checkpointed(scale_edges(ref, delay, 1).unionByName(scale_edges(spread, var, 2)))
-    scales = sized(checkpointed(propagate_scales(edges, {"trop_value": 1.0}).select(F.col("node").alias("_node"), F.col("scale").alias("_scale"))))
+    scales = propagate_scales(edges, {"trop_value": 1.0}).select(F.col("node").alias("_node"), F.col("scale").alias("_scale"))
 
-    b, p = b.join(scales, "_node", "left"), p.join(scales, "_node", "left")
+    # snapped per source, not per reading
     lengths, areas = sorted({*METRES.values(), 1e-4}), [1.0, 1e-4, 1e-6]
+    b = b.join(sized(checkpointed(scales.select("_node", snap(F.col("_scale"), lengths).alias("_linked")))), "_node", "left")
+    p = p.join(sized(checkpointed(scales.select("_node", snap(F.col("_scale"), areas).alias("_linked")))), "_node", "left")
     z = F.col("_z")
 
     def plausible(f: Column) -> Column:
         return (z * f).between(1.2, 3.2)
 
-    told = F.coalesce(F.when(F.col("_zl").isNotNull(), length_factor(F.col("_zl"))), F.when(F.col("_zl").isNull(), length_factor(F.col("_ul"))))
-    linked = snap(F.col("_scale"), lengths)
+    told = F.when(F.col("_zl").isNotNull(), F.col("_zlf")).otherwise(F.col("_ulf"))
+    linked = F.col("_linked")
     ranged = F.when(plausible(F.lit(1.0)), 1.0).when(plausible(F.lit(0.01)), 0.01).when(plausible(F.lit(0.001)), 0.001)
     free = F.col("_label").isNull()
     metric = linked.isin(1.0, 0.01, 0.001) & plausible(linked)
@@ -162,8 +166,7 @@ def harmonise_delays(bern: DataFrame, pea: DataFrame) -> tuple[DataFrame, DataFr
     b = b.withColumn("_zf", F.coalesce(told, guess)).withColumn(
         "_zh", F.when(told.isNotNull(), F.when(F.col("_zl").isNotNull(), "text").otherwise("unit")).when((free & metric) | (~free & plausible(linked)), "graph").when(ranged.isNotNull() & free, "range")
     )
-    sl = F.coalesce("_sl", "_ul")
-    sf = F.when(sl.isNotNull(), length_factor(sl)).otherwise(F.col("_zf"))
+    sf = F.when(F.col("_sl").isNotNull(), F.col("_slf")).when(F.col("_ul").isNotNull(), F.col("_ulf")).otherwise(F.col("_zf"))
     sf = F.coalesce(sf, F.when(F.col("_sl").isNull() & F.col("_zl").isNull(), F.col("_zf")))
     sh = F.when(F.col("_sl").isNotNull(), "text").when(F.col("_ul").isNotNull(), "unit").when(F.col("_zf").isNotNull(), "ztd")
     lengths_out = b.select(
@@ -175,15 +178,13 @@ def harmonise_delays(bern: DataFrame, pea: DataFrame) -> tuple[DataFrame, DataFr
     ).select("bern_id", "r.*")
 
     v = F.col("_v")
-    factor, power = variance_form(F.col("_label"))
-    told_v = F.when(F.col("_label").isNotNull(), factor)
-    linked_v = snap(F.col("_scale"), areas)
+    power, told_v, linked_v = F.col("_power"), F.col("_told"), F.col("_linked")
     small = F.sqrt(v * linked_v) < 0.05
     ranged_v = F.when(F.sqrt(v) < 0.05, 1.0).when(F.sqrt(v) < 50, 1e-6)
     ok = linked_v.isin(1.0, 1e-6) & small
     vf = F.when(F.col("_label").isNull(), F.when(ok, linked_v).otherwise(ranged_v)).otherwise(told_v)
     vp = F.when(F.col("_label").isNull() | told_v.isNull(), 1).otherwise(power)
     how = F.when(F.col("_label").isNotNull(), "unit").when(ok, "graph").when(ranged_v.isNotNull(), "range")
-    variances = p.select("pea_id", v.alias("raw"), F.pow(v * vf, vp).alias("value_m2"), vf.alias("factor"), vp.alias("power"), how.alias("how"))
-    variances = variances.withColumn("value_m2", F.when(F.col("power") == 1, F.col("raw") * F.col("factor")).otherwise(F.col("raw") * F.col("factor") * F.col("raw") * F.col("factor")))
-    return lengths_out, variances
+    variances = p.select("pea_id", v.alias("raw"), vf.alias("factor"), vp.alias("power"), how.alias("how"))
+    root = F.col("raw") * F.col("factor")
+    return lengths_out, variances.select("pea_id", "raw", F.when(F.col("power") == 1, root).otherwise(root * root).alias("value_m2"), "factor", "power", "how")
