@@ -79,3 +79,28 @@ def local_instants(civil: Column, zone: Column) -> Column:
         .when(ok2, F.array(two))
         .otherwise(none)
     )
+
+
+def doy_range(text: Column) -> Column:
+    """'17' or '17-20' as an array of days; null where it is neither."""
+    a, b = F.regexp_extract(text, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 1).try_cast("int"), F.regexp_extract(text, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2).try_cast("int")
+    return F.when(a.isNotNull() & (F.coalesce(b, a) >= a), F.sequence(a, F.coalesce(b, a)))
+
+
+def period_seconds(value: Column, unit: Column) -> Column:
+    """Seconds of so many seconds, minutes, hours, days, weeks or years (singular, plural or short)."""
+    u = F.lower(F.trim(unit))
+    one = F.when(u.rlike("^s(ec(ond)?s?)?$"), 1.0).when(u.rlike("^m(in(ute)?s?)?$"), 60.0).when(u.rlike("^h((ou)?rs?)?$"), 3600.0).when(u.rlike("^d(ays?)?$"), 86_400.0).when(u.rlike("^w((ee)?ks?)?$"), 604_800.0).when(u.rlike("^y((ea)?rs?)?$"), 31_557_600.0)
+    return value * one
+
+
+def decimal_year(ts: Column) -> Column:
+    """Year and the share of it that has passed."""
+    y = F.year(ts)
+    a, z = (F.unix_micros(F.make_timestamp(y + k, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) for k in (0, 1))
+    return y + (F.unix_micros(ts.cast("timestamp")) - a) / (z - a)
+
+
+def nearest_week(week: Column, reference_week: Column) -> Column:
+    """A week given modulo 1024, next to a reference week."""
+    return week + F.round((reference_week - week) / 1024).cast("int") * 1024

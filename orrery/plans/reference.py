@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from orrery.operators.stats import matrix_with_margins
-from orrery.plans import estimation, formats, relational, streams
+from orrery.plans import estimation, formats, relational, satellites, streams
 from orrery.plans.util import q6, rounded
 from orrery.session import table
 
@@ -19,6 +19,6 @@ SQL = {
     "residual_matrix": f"""SELECT user_id, event_type, count(*) AS n, {q6("avg(value)")} AS mean, {q6("stddev_samp(value)")} AS std, {q6("sqrt(avg(value * value))")} AS rms,
 CAST(grouping(user_id, event_type) AS INTEGER) AS margin FROM events GROUP BY CUBE (user_id, event_type)"""
 }
-for _m in (relational, estimation, formats, streams):
+for _m in (relational, estimation, satellites, formats, streams):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
