@@ -66,21 +66,6 @@ def zone_offset(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(ts, zone)) - us
 
 
-def local_instants(civil: Column, zone: Column) -> Column:
-    """array<long> of the UTC instants with this civil time: none in a gap, two in a fold."""
-    before, after = zone_offset(civil - DAY_US, zone), zone_offset(civil + DAY_US, zone)
-    one, two = civil - before, civil - after
-    ok1, ok2 = zone_offset(one, zone) == before, zone_offset(two, zone) == after
-    none = F.array().cast("array<long>")
-    return (
-        F.when(before == after, F.array(one))
-        .when(ok1 & ok2, F.array(one, two))
-        .when(ok1, F.array(one))
-        .when(ok2, F.array(two))
-        .otherwise(none)
-    )
-
-
 def doy_range(text: Column) -> Column:
     """'17' or '17-20' as an array of days; null where it is neither."""
     a, b = F.regexp_extract(text, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 1).try_cast("int"), F.regexp_extract(text, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2).try_cast("int")

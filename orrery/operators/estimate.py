@@ -142,6 +142,7 @@ def integer_least_squares(a: np.ndarray, q: np.ndarray, n_best: int = 2) -> tupl
     low, d = ldl(qz)
     az = z.T @ a
     best: list[tuple[float, np.ndarray]] = []
+    given = np.zeros(n)  # each component's estimate, given the integers chosen after it
 
     def dive(k: int, fixed: np.ndarray, cost: float) -> None:
         if k < 0:
@@ -149,7 +150,7 @@ def integer_least_squares(a: np.ndarray, q: np.ndarray, n_best: int = 2) -> tupl
             best.sort(key=lambda t: t[0])
             del best[n_best:]
             return
-        cond = az[k] - float(low[k + 1 :, k] @ (az[k + 1 :] - fixed[k + 1 :])) if k < n - 1 else az[k]
+        cond = given[k] = float(az[k] - low[k + 1 :, k] @ (given[k + 1 :] - fixed[k + 1 :]))
         first = round(cond)
         step = 1 if cond >= first else -1
         for i in itertools.count():

@@ -68,12 +68,12 @@ def difference_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataF
 
 
 def qq_quantiles(df: DataFrame, by: Sequence[str], value: str, n: int = 100) -> DataFrame:
-    """(by, k, q, normal): n empirical quantiles beside the standard normal's, whose ends are infinite."""
+    """(by, at, q, normal): n empirical quantiles beside the standard normal's, whose ends are infinite."""
     at = [k / (n - 1) for k in range(n)]
     normal = [-math.inf if p <= 0 else math.inf if p >= 1 else NormalDist().inv_cdf(p) for p in at]
     g = df.groupBy(*by).agg(F.percentile(real(value), at).alias("_q"))
     both = F.arrays_zip(F.col("_q").alias("q"), F.array(*[F.lit(x) for x in normal]).alias("normal"))
-    return g.select(*by, F.posexplode(both).alias("k", "_z")).select(*by, "k", "_z.q", "_z.normal")
+    return g.select(*by, F.posexplode(both).alias("at", "_z")).select(*by, "at", "_z.q", "_z.normal")
 
 
 def rms_3d(df: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFrame:

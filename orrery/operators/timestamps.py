@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.time import DAY_US, GPS_EPOCH_S, MJD_UNIX, WEEK_S, gpst_to_utc, leap_rows, local_instants, utc_to_gpst, zone_offset
+from orrery.functions.time import DAY_US, GPS_EPOCH_S, MJD_UNIX, WEEK_S, gpst_to_utc, leap_rows, utc_to_gpst, zone_offset
 from orrery.session import checkpointed, micros, sized
 
 # Zone abbreviations with one meaning among the feeds' regions, in minutes from UTC.
@@ -164,12 +164,16 @@ def estimate_offset_history(read: DataFrame, leaps: Sequence[tuple[int, int]], z
     A violation is a civil time that, taken in the zone, lies after its ingestion or more than max_delay_s before it. Ties go to the
     shortest median delay, then the first name. Partial aggregates only: a feed may hold any share of the rows.
     """
-    one = read.where(F.size("_r") > 0).select("_feed", "_log", F.explode("_r").alias("r")).where(F.col("r.clk") == "FEED")
-    each = one.select("_feed", "_log", F.col("r.civil").alias("civil"), F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone"))
-    gpst = F.array(gpst_to_utc(F.col("civil"), leaps))
     # a notation's wrong readings are weeks off for every zone and say nothing of it
-    near = each.where(F.abs(F.col("_log") - F.col("civil")) < (max_delay_s + 2 * 86_400) * 1_000_000)
-    inst = near.withColumn("_u", F.when(F.col("zone") == "GPST", gpst).otherwise(local_instants(F.col("civil"), F.when(F.col("zone") != "GPST", F.col("zone")))))
+    one = read.select("_feed", "_log", F.explode("_r").alias("r")).where("r.clk = 'FEED'").select("_feed", "_log", F.col("r.civil").alias("civil"))
+    near = one.where(F.abs(F.col("_log") - F.col("civil")) < (max_delay_s + 2 * 86_400) * 1_000_000)
+    each = near.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    place = F.when(F.col("zone") != "GPST", F.col("zone"))
+    each = each.withColumns({"_z0": zone_offset(F.col("civil") - DAY_US, place), "_z1": zone_offset(F.col("civil") + DAY_US, place)})
+    one_u, two_u = F.col("civil") - F.col("_z0"), F.col("civil") - F.col("_z1")
+    folded = F.filter(F.array(one_u, two_u), lambda u: zone_offset(u, F.col("zone")) == F.col("civil") - u)
+    gpst = F.array(gpst_to_utc(F.col("civil"), leaps))
+    inst = each.withColumn("_u", F.when(F.col("zone") == "GPST", gpst).when(F.col("_z0") == F.col("_z1"), F.array(one_u)).otherwise(folded))
     # a civil time a zone never had counts neither way; of a fold the last instant that fits is taken
     scored = inst.where(F.size("_u") > 0).withColumn("_d", F.transform("_u", lambda u: F.col("_log") - u))
     fit = F.filter("_d", lambda d: d.between(0, max_delay_s * 1_000_000))
