@@ -36,6 +36,7 @@ _STRUCTURE = re.compile(
     r"^\s*(?:%\s|\d{1,2}:\d{2}:\d{2}\b|#+ \S|page \d+ of \d+|[\w-]+:\s*(?:\[.*\]|[\w.+-]*)\s*$|(?:tags|keywords)\s*:|\[\d+\]\s|[^|\n]{1,20}\|[^|\n]{1,20}\|\s*[\d.-]+\s*$|site \| )", re.I
 )
 _CUT = re.compile(r"(?<=[.?!])\s+")
+_SIDE = re.compile(r"[|/;•·,]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,7 +49,8 @@ def _kind(u: str, words: list[str], stops: int) -> str:
     bare = _LINK.sub(" ", u)
     if bare != u:
         rest = _WORD.findall(bare)
-        s = sum(w.lower() in STOPWORDS for w in rest)
+        # what is left of a cut anchor gives one 'a' after another
+        s = len(STOPWORDS.intersection(w.lower() for w in rest))
         told = bare.strip().endswith((".", "?", "!")) and len(rest) >= 3 or s >= 2
         return "sentence" if told else "link"
     if _TAG.search(u):
@@ -58,10 +60,23 @@ def _kind(u: str, words: list[str], stops: int) -> str:
     return "short"
 
 
+def _phrase(u: str) -> bool:
+    """A few words and nothing else: no digits, hardly a function word."""
+    words = _WORD.findall(u)
+    return 1 <= len(words) <= 6 and not any(c.isdigit() for c in u) and 4 * sum(w.lower() in STOPWORDS for w in words) <= len(words)
+
+
+def _listing(u: str) -> bool:
+    """Four or more phrases side by side."""
+    parts = [p for p in _SIDE.split(u) if p.strip()]
+    return len(parts) >= 4 and all(map(_phrase, parts[1:-1]))
+
+
 def page_features(text: str) -> list[float]:
     """The page's features, in the order of FEATURES; the first seven are shares of its characters."""
     size: Counter = Counter()
     shorts: list[tuple[str, list[str]]] = []
+    told: list[tuple[str, list[str]]] = []
     seen: Counter = Counter()
     n_words = n_stops = n_upper = 0
     vocabulary: set[str] = set()
@@ -75,6 +90,8 @@ def page_features(text: str) -> list[float]:
             kind = _kind(u, words, stops)
             if kind == "short":
                 shorts.append((u, words))
+            elif kind == "sentence":
+                told.append((u, words))
             else:
                 size[kind] += len(u)
             if kind != "structure":
@@ -83,11 +100,18 @@ def page_features(text: str) -> list[float]:
                 n_upper += sum(len(w) > 1 and w.isupper() for w in raw)
                 vocabulary.update(words)
                 seen.update(zip(words, words[1:], strict=False))
-    for u, words in shorts:
+    lone = [_phrase(u) for u, _ in shorts]
+    listed = sum(lone) >= 5
+    for (u, words), alone in zip(shorts, lone, strict=True):
         pairs = list(zip(words, words[1:], strict=False))
         often = sum(seen[p] >= 3 for p in pairs)
-        keyword = often * 3 >= len(pairs) and often > 0 if pairs else False
+        keyword = (often > 0 and often * 3 >= len(pairs)) or (alone and listed) or _listing(u)
         size["keyword" if keyword else "plain"] += len(u)
+    # a pair said at every eighth word is a keyword even between full stops
+    main = {p for p, c in seen.items() if c >= 6 and 8 * c >= n_words and not STOPWORDS.intersection(p)}
+    for u, words in told:
+        inside = sum(p in main for p in zip(words, words[1:], strict=False)) if main else 0
+        size["keyword" if inside and 6 * inside >= len(words) else "sentence"] += len(u)
     total = max(1, sum(size.values()))
     share = {k: size[k] / total for k in ("link", "tag", "stock", "keyword", "sentence", "structure", "plain")}
     grams = sum(seen.values())

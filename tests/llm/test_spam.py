@@ -8,13 +8,15 @@ LINKS = "\n".join(f"* www.shop-{k}.example" for k in range(30))
 TAGS = "#RtkSale #BestGnss #RtkSale #kestrix " * 12
 STOCK = "\n".join(f"Meridan B{k} sale {k}69.00 USD" for k in range(200, 230))
 PAIRS = " • ".join(f"used total station {c}" for c in ("Tarnby", "Quellford", "Skelby") * 8)
+STUFFED = " ".join(["Best cors subscription of cors subscription for you.", "cors subscription? cors subscription! CORS SUBSCRIPTION.", "Buy cors subscription, cors subscription price, cors subscription near Weldasse."] * 6)
+CUT = "\n".join(f'ref="https://dl.fixora-geo{k}.example/doc/{k}">antenna cable discount</a> <a href="https://kestrix-sat{k}.example/p/{k}">used total station</a> <a hr' for k in range(12))
 REFS = TEXT * 3 + "\n\nReferences\n" + "\n".join(f"[{k}] Partial chi-square test notes, part {k}. https://a-{k}.example/p/{k}" for k in range(1, 12))
 LOG = TEXT + "\n" + "\n".join(f"04:31:{k:02d} INFO no clock for VK69 at epoch {k}" for k in range(40))
 TRACE = TEXT + "\n" + "\n".join(f"% 1 2021-01-17 07:21:{k:02d}.00 PHAS_MEAS R01 XZ26 L5Q -0.4125 0.5892 0.5491 KF-838" for k in range(40))
 TABLE = TEXT + "\nsite | height | sats\n" + "\n".join(f"XQ90 | 19.{k} | {k}" for k in range(60))
 CONF = TEXT + "\n" + "\n".join(f"epoch_buffer:\n    sigma: {k}\n    source: [L1C, L2W]" for k in range(30))
 GLOSS = "\n".join(f"Term {k}: The tolerance of {k} seconds suits a diurnal stream, not a carrier phase." for k in range(20))
-SPAM = [KEYS, LINKS, TAGS, STOCK, PAIRS, TEXT + "\n" + KEYS, TEXT + TAGS]
+SPAM = [STUFFED, CUT, KEYS, LINKS, TAGS, STOCK, PAIRS, TEXT + "\n" + KEYS, TEXT + TAGS]
 HAM = [TEXT, REFS, LOG, TRACE, TABLE, CONF, GLOSS, TEXT * 10 + "\n" + KEYS[:200], "Short."]
 
 
