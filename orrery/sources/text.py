@@ -169,3 +169,55 @@ def sinex_estimates(block: DataFrame) -> DataFrame:
     return block.select(fixed_number(v, 1, 5).cast("int").alias("index"), *[F.trim(F.substring(v, a + 1, n)).alias(c) for c, (a, n) in cut.items()], year_doy_sod(F.substring(v, 28, 12)).alias("epoch"), fixed_number(v, 47, 21).alias("estimate"), fixed_number(v, 69, 11).alias("std"))
 
 
+
+
+def trop_sinex(lines: DataFrame) -> DataFrame:
+    """TROP/SOLUTION rows: site, epoch, total delay and deviation in metres, gradients where given."""
+    p = F.split(F.trim("value"), r"\s+")
+    x = lines.where(F.col("value").rlike(r"^ \S+\s+\d{2,4}:\d{3}:\d{5}\s")).select(p.alias("_p")).where(F.size("_p") >= 4).withColumn("epoch", year_doy_sod(F.get("_p", F.lit(1))))
+
+    def mm(i: int) -> Column:
+        return F.get("_p", F.lit(i)).try_cast("double") / 1000
+
+    return x.select(F.col("_p")[0].alias("site"), "epoch", mm(2).alias("total"), mm(3).alias("std"), mm(4).alias("grad_n"), mm(5).alias("grad_e"))
+
+
+def ionex_biases(lines: DataFrame) -> DataFrame:
+    """'PRN / BIAS / RMS' and 'STATION / BIAS / RMS' lines: id, bias and deviation in nanoseconds."""
+    v = F.col("value")
+    kind = F.trim(F.substring(v, 61, 20))
+    x = lines.where(kind.isin("PRN / BIAS / RMS", "STATION / BIAS / RMS"))
+    sat = kind == "PRN / BIAS / RMS"
+    return x.select(F.when(sat, "satellite").otherwise("station").alias("kind"), F.when(sat, F.trim(F.substring(v, 4, 3))).otherwise(F.trim(F.substring(v, 7, 20))).alias("id"), F.when(sat, fixed_number(v, 6, 10)).otherwise(fixed_number(v, 26, 10)).alias("bias_ns"), F.when(sat, fixed_number(v, 16, 10)).otherwise(fixed_number(v, 36, 10)).alias("rms_ns"))
+
+
+def ems_messages(lines: DataFrame) -> DataFrame:
+    """Archived augmentation messages: 'prn yy mm dd hh mm ss type hex' as satellite, time, type and bytes."""
+    m = r"^\s*(\d+)\s+(\d{2})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([0-9A-Fa-f]+)\s*$"
+    x = lines.where(F.col("value").rlike(m))
+    g = [F.regexp_extract("value", m, i) for i in range(10)]
+    t = F.try_make_timestamp(g[2].cast("int") + 2000, g[3].cast("int"), g[4].cast("int"), g[5].cast("int"), g[6].cast("int"), g[7].cast("int"))
+    return x.select(g[1].cast("int").alias("prn"), t.alias("time"), g[8].cast("int").alias("type"), F.unhex(g[9]).alias("data"))
+
+
+def satellite_ids(lines: DataFrame) -> DataFrame:
+    """Satellite identity lines 'name cospar sic norad ...' as a dimension."""
+    p = F.split(F.trim("value"), r"\s+")
+    x = lines.where(~F.col("value").rlike(r"^\s*[#*!]")).select(p.alias("_p")).where((F.size("_p") >= 4) & F.col("_p")[2].rlike(r"^\d+$"))
+    return x.select(F.col("_p")[0].alias("name"), F.col("_p")[1].alias("ilrs"), F.col("_p")[2].cast("int").alias("sic"), F.col("_p")[3].try_cast("int").alias("norad"))
+
+
+def tide_coefficients(lines: DataFrame) -> DataFrame:
+    """Harmonic tide rows 'doodson wave n m C+ S+ C- S-'."""
+    m = r"^\s*(\d{2,3}\.\d{3})\s+(\S+)\s+(\d+)\s+(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)"
+    x = lines.where(F.col("value").rlike(m))
+    g = [F.regexp_extract("value", m, i) for i in range(9)]
+    return x.select(g[1].alias("doodson"), g[2].alias("wave"), g[3].cast("int").alias("n"), g[4].cast("int").alias("m"), *[_double(g[5 + k]).alias(c) for k, c in enumerate(("c_pro", "s_pro", "c_retro", "s_retro"))])
+
+
+def space_weather(lines: DataFrame) -> DataFrame:
+    """Daily rows of a space weather file: date, the eight Kp (tenths), mean Ap and adjusted F10.7."""
+    v = F.col("value")
+    x = lines.where(v.rlike(r"^\d{4} \d{2} \d{2} \d{4}"))
+    day = F.try_make_timestamp(F.substring(v, 1, 4).cast("int"), F.substring(v, 6, 2).cast("int"), F.substring(v, 9, 2).cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return x.select(day.alias("day"), F.array(*[fixed_number(v, 18 + 3 * k, 3) for k in range(8)]).alias("kp"), fixed_number(v, 79, 4).alias("ap"), fixed_number(v, 93, 6).alias("f107"))

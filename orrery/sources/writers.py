@@ -5,7 +5,7 @@ Lines are built by column expressions. A file's lines are sorted within its part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.geo import geodetic_to_ecef
@@ -116,3 +116,77 @@ def file_name(template: str, time: str, **ids: str) -> Column:
         out = F.replace(out, F.lit(f"<{name}>"), F.col(col))
     return replace_times(out, F.col(time))
 
+
+
+def rinex_obs_lines(df: DataFrame, file: Column, codes: dict[str, list[str]]) -> DataFrame:
+    """(epoch, sat, code, value, lli) as version 3 observation records; ``codes`` gives each system's columns."""
+    t = F.col("epoch").cast("timestamp")
+    base = df.select(file.alias("file"), t.alias("t"), "sat", "code", "value", "lli")
+    per = base.groupBy("file", "t", "sat").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("value", "lli")))).alias("_m"))
+
+    def cell(code: str) -> Column:
+        v = F.col("_m")[code]
+        lli = F.when(F.coalesce(v["lli"], F.lit(0)) > 0, v["lli"].cast("string")).otherwise(" ")
+        return F.when(v.isNull(), F.lit(" " * 16)).otherwise(F.concat(F.format_string("%14.3f", v["value"]), lli, F.lit(" ")))
+
+    row = F.lit(None).cast("string")
+    for system, cs in codes.items():
+        row = F.when(F.substring("sat", 1, 1) == system, F.concat("sat", *[cell(c) for c in cs])).otherwise(row)
+    rows = per.select("file", F.struct("t", F.lit(1).alias("k"), "sat").alias("seq"), F.rtrim(row).alias("value")).where("value IS NOT NULL")
+    stamp = F.format_string("> %4d %02d %02d %02d %02d%11.7f  0%3d", F.year("t"), F.month("t"), F.dayofmonth("t"), F.hour("t"), F.minute("t"), _seconds(F.col("t")), F.col("n"))
+    epochs = per.groupBy("file", "t").agg(F.count("*").alias("n")).select("file", F.struct("t", F.lit(0).alias("k"), F.lit("").alias("sat")).alias("seq"), stamp.alias("value"))
+    head = [f"{'     3.04           OBSERVATION DATA    M':60}RINEX VERSION / TYPE"] + [f"{s}  {len(cs):3d} {' '.join(cs)}".ljust(60) + "SYS / # / OBS TYPES" for s, cs in codes.items()] + ["".ljust(60) + "END OF HEADER"]
+    files = per.select("file").distinct()
+    top = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(head)]))
+    heads = files.select("file", top.alias("_h")).select("file", F.struct(F.lit(None).cast("timestamp").alias("t"), F.col("_h.i").alias("k"), F.lit("").alias("sat")).alias("seq"), F.col("_h.h").alias("value"))
+    return heads.unionByName(epochs).unionByName(rows)
+
+
+def orbex_lines(df: DataFrame, file: Column) -> DataFrame:
+    """(sat, epoch, q0..q3) as attitude records under their epochs."""
+    t = F.col("epoch").cast("timestamp")
+    base = df.select(file.alias("file"), t.alias("t"), "sat", *[f"q{k}" for k in range(4)])
+    rows = base.select("file", F.struct("t", F.lit(1).alias("k"), "sat").alias("seq"), F.format_string(" ATT %-3s              4 %19.16f %19.16f %19.16f %19.16f", "sat", "q0", "q1", "q2", "q3").alias("value"))
+    stamp = F.format_string("## %4d %02d %02d %02d %02d %15.12f %3d", F.year("t"), F.month("t"), F.dayofmonth("t"), F.hour("t"), F.minute("t"), _seconds(F.col("t")), F.col("n"))
+    epochs = base.groupBy("file", "t").agg(F.count("*").alias("n")).select("file", F.struct("t", F.lit(0).alias("k"), F.lit("").alias("sat")).alias("seq"), stamp.alias("value"))
+    heads = base.select("file").distinct().select("file", F.struct(F.lit(None).cast("timestamp").alias("t"), F.lit(0).alias("k"), F.lit("").alias("sat")).alias("seq"), F.lit("%=ORBEX  0.09").alias("value"))
+    return heads.unionByName(epochs).unionByName(rows)
+
+
+def _ydo(t: Column) -> Column:
+    t = t.cast("timestamp")
+    return F.format_string("%02d:%03d:%05d", F.year(t) % 100, F.dayofyear(t), F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+
+
+def sinex_lines(df: DataFrame, file: Column) -> DataFrame:
+    """(param, site, soln, epoch, unit, estimate, std) as a SOLUTION/ESTIMATE block, numbered in order within its file."""
+    w = Window.partitionBy("file").orderBy("site", "epoch", "param")
+    x = df.select(file.alias("file"), "param", "site", "soln", "epoch", "unit", "estimate", "std").withColumn("_i", F.row_number().over(w))
+    row = F.format_string(" %5d %-6s %-4s  A %4s %s %-4s 2 %21.14E %11.5E", F.col("_i"), F.col("param"), F.col("site"), F.col("soln"), _ydo(F.col("epoch")), F.col("unit"), F.col("estimate"), F.col("std"))
+    rows = x.select("file", F.struct(F.lit(1).alias("a"), F.col("_i").alias("b")).alias("seq"), row.alias("value"))
+    files = rows.select("file").distinct()
+
+    def edge(a: int, b: int, text: str) -> DataFrame:
+        return files.select("file", F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")).alias("seq"), F.lit(text).alias("value"))
+
+    return edge(0, 0, "%=SNX 2.02").unionByName(edge(0, 1, "+SOLUTION/ESTIMATE")).unionByName(rows).unionByName(edge(2, 0, "-SOLUTION/ESTIMATE")).unionByName(edge(2, 1, "%ENDSNX"))
+
+
+def trop_sinex_lines(df: DataFrame, file: Column) -> DataFrame:
+    """(site, epoch, total, std, gradients n and e) in metres as a TROP/SOLUTION block in millimetres."""
+    v = F.format_string(" %-9s %s %7.1f %6.1f %7.3f %7.3f", F.col("site"), _ydo(F.col("epoch")), F.col("total") * 1000, F.col("std") * 1000, F.coalesce(F.col("grad_n"), F.lit(0.0)) * 1000, F.coalesce(F.col("grad_e"), F.lit(0.0)) * 1000)
+    rows = df.select(file.alias("file"), F.struct(F.lit(1).alias("a"), F.col("site").alias("b"), F.col("epoch").cast("timestamp").alias("c")).alias("seq"), v.alias("value"))
+    files = rows.select("file").distinct()
+
+    def edge(a: int, text: str) -> DataFrame:
+        return files.select("file", F.struct(F.lit(a).alias("a"), F.lit("").alias("b"), F.lit(None).cast("timestamp").alias("c")).alias("seq"), F.lit(text).alias("value"))
+
+    return edge(0, "+TROP/SOLUTION").unionByName(rows).unionByName(edge(2, "-TROP/SOLUTION"))
+
+
+def nmea_lines(df: DataFrame, file: Column) -> DataFrame:
+    """$POS lines of solutions (Time, Latitude, Longitude, Elevation) with the NMEA check sum of each."""
+    body = F.format_string("POS,%s,%.9f,%.9f,%.4f", _stamp(F.col("Time"), "yyyyMMddHHmmss.SSS"), F.col("Latitude"), F.col("Longitude"), F.col("Elevation"))
+    x = df.select(file.alias("file"), F.col("Time"), body.alias("b"))
+    check = F.aggregate(F.transform(F.split("b", ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a.bitwiseXOR(c))
+    return x.select("file", F.struct("Time").alias("seq"), F.format_string("$%s*%02X", F.col("b"), check).alias("value"))
