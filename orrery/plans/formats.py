@@ -142,3 +142,25 @@ def station_messages(spark, base):
 def gpx_track(spark, base):
     lines = W.gpx_lines(table(spark, base, "pos_solution"), F.col("site"))
     return lines.where(F.col("value").startswith("<trkpt")).groupBy(F.col("file").alias("site")).agg(F.count("*").alias("points"))
+
+
+@query("""SELECT site, (315964800 + gpswk::BIGINT * 604800 + floor(seconds)::BIGINT) * 1000000 AS us, round(max(trop_value), 4) + 0.0 AS total FROM trop_pea WHERE trop_value IS NOT NULL GROUP BY 1, 2""")
+def trop_sinex_round_trip(spark, base):
+    p = table(spark, base, "trop_pea").where("trop_value IS NOT NULL")
+    t = F.timestamp_seconds(F.lit(315_964_800) + F.col("gpswk").cast("long") * 604_800 + F.floor("seconds"))
+    z = p.groupBy("site", t.alias("epoch")).agg(F.max("trop_value").alias("total")).withColumns({"std": F.lit(0.001), "grad_n": F.lit(None).cast("double"), "grad_e": F.lit(0.0)})
+    return T.trop_sinex(W.trop_sinex_lines(z, F.col("site"))).select("site", F.unix_micros("epoch").alias("us"), (F.round("total", 4) + 0.0).alias("total"))
+
+
+@query("""SELECT recv AS marker, count(*) AS n FROM (SELECT DISTINCT recv, sat, sig, datetime FROM residual WHERE meas = 'CODE_MEAS' AND prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) <= 1000) GROUP BY 1""")
+def rinex_obs_round_trip(spark, base):
+    """Code readings to observation files, one a receiver, written to the shared folder and read back; those that came back within a millimetre."""
+    X.register(spark)
+    r = table(spark, base, "residual").where("meas = 'CODE_MEAS' AND prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) <= 1000")
+    o = r.groupBy("recv", F.col("datetime").alias("epoch"), "sat", F.regexp_replace("sig", "^L", "C").alias("code")).agg((F.max("prefit") + 2.2e7).alias("value")).withColumn("lli", F.lit(0))
+    codes = {s: ["C1C", "C1P", "C2C", "C2W", "C2I", "C5Q", "C6I", "C7Q", "C7I"] for s in "GREC"}
+    path = f"{shared_dir(spark)}/rinex-{zlib.crc32(base.encode())}"
+    W.write_lines(W.rinex_obs_lines(o, F.col("recv"), codes), path)
+    back = spark.read.format("gnss").option("kind", "rinex_obs").load(path).select(F.regexp_extract("file", "file=([^/]+)", 1).alias("recv"), "epoch", "sat", "code", F.col("value").alias("b"))
+    near = o.withColumn("epoch", F.col("epoch").cast("timestamp")).join(back, ["recv", "epoch", "sat", "code"]).where(F.abs(F.col("value") - F.col("b")) < 1e-3)
+    return near.groupBy(F.col("recv").alias("marker")).agg(F.count("*").alias("n"))

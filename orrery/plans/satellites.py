@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.functions import geo as G
 from orrery.functions import time as T
 from orrery.operators import estimate as E
 from orrery.operators import gnss as N
+from orrery.operators import models as M
 from orrery.plans.util import q6, r6, residuals, rounded
 from orrery.session import micros, sized, table
 
@@ -218,3 +220,50 @@ def residual_geometry(spark, base):
     j = j.withColumns({"e": e, "no": n, "u": u})
     az, el = G.azimuth_elevation(F.col("e"), F.col("no"), F.col("u"))
     return j.withColumn("el", el).groupBy("recv").agg(F.round(F.sum(F.when(F.col("el") > 10 * math.pi / 180, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("above"))
+
+
+@query()
+def solid_tides(spark, base):
+    """Sun and Moon tides of every station at the events' quarter days, metres up."""
+    s = table(spark, base, "station")
+    x, y, z = G.geodetic_to_ecef(F.radians("Latitude"), F.radians("Longitude"), F.col("Elevation"))
+    s = s.select("site", x.alias("x"), y.alias("y"), z.alias("z"))
+    h = table(spark, base, "events").select((F.floor(micros("ts") / 21_600e6) * 21_600_000_000).alias("us")).distinct()
+    sun, moon = N.sun_position(F.col("us")), M.moon_position(F.col("us"))
+    h = h.select("us", *[c.alias(n) for c, n in zip((*sun, *moon), ("sx", "sy", "sz", "mx", "my", "mz"), strict=True)])
+    pos = tuple(F.col(c) for c in "xyz")
+    parts = [M.solid_tide(pos, tuple(F.col(f"{b}{c}") for c in "xyz"), k) for b, k in (("s", M.SUN_RATIO), ("m", M.MOON_RATIO))]
+    d = tuple(a + b for a, b in zip(*parts, strict=True))
+    return s.crossJoin(sized(h)).select("site", "us", F.round(G.dot(d, G.unit(pos)), 4).alias("up"))
+
+
+@query()
+def eclipse_filter(spark, base):
+    """Orbit rows left when satellites with odd numbers are dropped in the Earth's shadow."""
+    sun = N.sun_position(F.col("slot") * 900_000_000)
+    o = _orbit(spark, base).withColumns({"sx": sun[0], "sy": sun[1], "sz": sun[2], "block": F.when(F.substring("sat", 3, 1).cast("int") % 2 == 1, "old").otherwise("new")})
+    return M.eclipse_filter(o, "block", ["old"], ("x", "y", "z"), ("sx", "sy", "sz")).select("sat", "slot")
+
+
+@query()
+def harmonic_vtec(spark, base):
+    c, s = np.zeros((4, 4)), np.zeros((4, 4))
+    c[0, 0], c[1, 0], c[2, 1], s[2, 1] = 20.0, 3.0, 1.5, -0.5
+    e = table(spark, base, "events").select("event_id", F.radians((F.col("user_id") * 13) % 1500 / 10.0 - 70).alias("lat"), F.radians((F.col("user_id") * 29) % 3400 / 10.0 - 170).alias("lon"))
+    return e.select("event_id", F.round(M.harmonic_vtec(c, s)(F.col("lat"), F.col("lon")), 6).alias("vtec"))
+
+
+@query("""SELECT event_id, CAST(round(mw) AS INTEGER) AS wide, abs(mw - round(mw)) < 0.25 AS fits FROM (SELECT event_id, value / 7.0 AS mw FROM events)""")
+def slip_repair(spark, base):
+    lam1, lam2 = G.CLIGHT / 1575.42e6, G.CLIGHT / 1227.60e6
+    e = table(spark, base, "events").withColumn("mw", F.col("value") / 7.0)
+    e = e.withColumn("gf", lam1 * 3 - lam2 * (3 - F.round("mw")))
+    n1, n2, ok = M.repair_slips(F.col("gf"), F.col("mw"), lam1, lam2)
+    return e.select("event_id", (n1 - n2).alias("wide"), ok.alias("fits"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, value > 50 AS rej, value > 200 AS slip, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT event_id, slip OR (rej AND sum(CAST(rej AS INTEGER)) OVER (PARTITION BY user_id, b ORDER BY ts, event_id) % 3 = 0) AS reset FROM e""")
+def ambiguity_expiry(spark, base):
+    e = table(spark, base, "events").withColumns({"rej": F.col("value") > 50, "slip": F.col("value") > 200})
+    return M.expire_ambiguities(e, ["user_id"], ["ts", "event_id"], "rej", "slip", 3).select("event_id", "reset")

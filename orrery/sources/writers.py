@@ -124,14 +124,14 @@ def rinex_obs_lines(df: DataFrame, file: Column, codes: dict[str, list[str]]) ->
     base = df.select(file.alias("file"), t.alias("t"), "sat", "code", "value", "lli")
     per = base.groupBy("file", "t", "sat").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("value", "lli")))).alias("_m"))
 
-    def cell(code: str) -> Column:
-        v = F.col("_m")[code]
+    def cell(code: Column) -> Column:
+        v = F.try_element_at("_m", code)
         lli = F.when(F.coalesce(v["lli"], F.lit(0)) > 0, v["lli"].cast("string")).otherwise(" ")
         return F.when(v.isNull(), F.lit(" " * 16)).otherwise(F.concat(F.format_string("%14.3f", v["value"]), lli, F.lit(" ")))
 
-    row = F.lit(None).cast("string")
-    for system, cs in codes.items():
-        row = F.when(F.substring("sat", 1, 1) == system, F.concat("sat", *[cell(c) for c in cs])).otherwise(row)
+    order = F.create_map(*[x for k, cs in codes.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in cs]))])
+    per = per.withColumn("_c", F.try_element_at(order, F.substring("sat", 1, 1)))
+    row = F.concat("sat", F.array_join(F.transform("_c", cell), ""))
     rows = per.select("file", F.struct("t", F.lit(1).alias("k"), "sat").alias("seq"), F.rtrim(row).alias("value")).where("value IS NOT NULL")
     stamp = F.format_string("> %4d %02d %02d %02d %02d%11.7f  0%3d", F.year("t"), F.month("t"), F.dayofmonth("t"), F.hour("t"), F.minute("t"), _seconds(F.col("t")), F.col("n"))
     epochs = per.groupBy("file", "t").agg(F.count("*").alias("n")).select("file", F.struct("t", F.lit(0).alias("k"), F.lit("").alias("sat")).alias("seq"), stamp.alias("value"))
