@@ -31,6 +31,8 @@ _SOFT = re.compile(r"­[ \t]*\r?\n[ \t]*(?:>[ \t]*)*")
 _BREAK = re.compile(r"([^\W_]+)[-‐‑][ \t]*(?:\r\n|\r|\n)[ \t]*(?:>[ \t]*)*([^\W_]+)")
 _FORMAT = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"[*_`~]")
+_LINE_END = re.compile(r"[-‐‑][ \t]*[\r\n]")
 
 
 def reader_words(text: str, vocabulary: frozenset[str] | None = None) -> list[str]:
@@ -43,10 +45,15 @@ def reader_words(text: str, vocabulary: frozenset[str] | None = None) -> list[st
         text = _BLOCK.sub(" ", _INLINE.sub("", text))
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", _FORMAT.sub("", _SOFT.sub("", text)))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _FORMAT.sub("", _SOFT.sub("", text)))
     if "](" in text:
         text = _LINK.sub(r"\1", text)
-    text = _EMPHASIS.sub("", text).casefold()
+    if _MARK.search(text):
+        text = _EMPHASIS.sub("", text)
+    text = text.casefold()
+    if not _LINE_END.search(text):
+        return _WORD.findall(text)
 
     def mend(m: re.Match) -> str:
         a, b = m.group(1), m.group(2)
@@ -80,6 +87,14 @@ def simhash(h: np.ndarray, window: int) -> np.ndarray:
     return np.packbits(2 * ones > window, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
 
 
+def known_runs(words: list[str], vocabulary: frozenset[str], least: int) -> Iterator[list[str]]:
+    """Runs of at least so many words that are all in the vocabulary."""
+    cuts = [k for k, w in enumerate(words) if w not in vocabulary]
+    for a, b in zip([-1, *cuts], [*cuts, len(words)], strict=True):
+        if b - a > least:
+            yield words[a + 1 : b]
+
+
 class _Index:
     """The items' windows: fingerprints, word hashes and shingle weights, with one sorted table per block."""
 
@@ -147,11 +162,15 @@ class _Index:
 def _search(index: _Index, docs: list[tuple[int, list[str]]], cache: dict[str, int], least: float) -> Iterator[tuple[int, object, int, float]]:
     """(document position, item, windows, best similarity) for documents given as words."""
     w = index.window
+    if least >= 1:
+        # a window with a word no item has cannot be equal to an item's: only runs of items' words are hashed
+        docs = [(j, run) for j, ws in docs for run in known_runs(ws, index.vocabulary, w)]
     h = [word_hashes(ws, cache) for _, ws in docs]
     size = np.array([len(x) for x in h])
     if not len(h) or not size.sum():
         return
     flat, doc = np.concatenate(h), np.repeat(np.arange(len(h)), size)
+    position = [j for j, _ in docs]
     found: dict[tuple[int, object], list] = {}
     for a in range(0, max(1, len(flat) - w + 1), SLICE):
         part, own = flat[a : a + SLICE + w - 1], doc[a : a + SLICE + w - 1]
@@ -165,11 +184,11 @@ def _search(index: _Index, docs: list[tuple[int, list[str]]], cache: dict[str, i
         p = at[wi]
         sim = index.similarity(np.lib.stride_tricks.sliding_window_view(part, w)[p], ki)
         for d, k, s in zip(own[p[sim >= least - 1e-12]], ki[sim >= least - 1e-12], sim[sim >= least - 1e-12], strict=True):
-            x = found.setdefault((int(d), index.owner[k]), [0, 0.0])
+            x = found.setdefault((position[d], index.owner[k]), [0, 0.0])
             x[0] += 1
             x[1] = max(x[1], float(s))
     for (d, item), (n, s) in found.items():
-        yield docs[d][0], item, n, s
+        yield d, item, n, s
 
 
 def find_leaks(
