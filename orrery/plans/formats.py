@@ -63,7 +63,7 @@ def reason_explode(spark, base):
     e = table(spark, base, "events")
     act = F.when(F.col("user_id") % 2 == 0, " REJECT").otherwise("PREPROC")
     tail = F.concat(F.lit("  - GF  - GF"), F.when(F.col("user_id") % 3 == 0, "  - SCDIA").otherwise(""))
-    v = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("  Ambiguity Removed      - "), act, F.lit("  AMBIGUITY  G03  BOGT  L1C"), tail)
+    v = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("  Ambiguity Removed      - "), act, F.lit("  AMBIGUITY  E11  ALIC  L1C"), tail)
     r = T.ambiguity_resets(e.select(v.alias("value")))
     return r.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from orrery.functions.ids import fixed_number
 
-_FLOAT = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+# The forms of two kinds of trace lines.
+_LARGE = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+)\s+LARGE\s+(STATE|MEAS)\s+ERROR\s+OF\s*:\s*([0-9.]+)\s+AT\s+\d+\s*:\s*(.*)$"
+_RESET = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+)\s+Ambiguity Removed\s+-\s+(PREPROC|REJECT)\s+AMBIGUITY\s+(\S+)\s+(\S+)\s+(\S+)(.*)$"
 
 
 def _stamp(date: Column, time: Column) -> Column:
@@ -36,7 +38,7 @@ def trace(lines: DataFrame) -> DataFrame:
 
 def large_errors(lines: DataFrame) -> DataFrame:
     """'LARGE STATE|MEAS ERROR OF : value AT n : ...' lines."""
-    head = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+)\s+LARGE\s+(STATE|MEAS)\s+ERROR\s+OF\s*:\s*([0-9.]+)\s+AT\s+\d+\s*:\s*(.*)$"
+    head = _LARGE
     x = lines.where(F.col("value").rlike(head))
     g = [F.regexp_extract("value", head, i) for i in range(6)]
     x = x.select(_stamp(g[1], g[2]).alias("datetime"), g[3].alias("kind"), _double(g[4]).alias("value"), F.split(F.trim(g[5]), r"\s+").alias("_p"))
@@ -53,7 +55,7 @@ def large_errors(lines: DataFrame) -> DataFrame:
 
 def ambiguity_resets(lines: DataFrame) -> DataFrame:
     """'Ambiguity Removed' lines with their reasons, each once and in order; a REJECT without KF gets it in front."""
-    head = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+)\s+Ambiguity Removed\s+-\s+(PREPROC|REJECT)\s+AMBIGUITY\s+(\S+)\s+(\S+)\s+(\S+)(.*)$"
+    head = _RESET
     x = lines.where(F.col("value").rlike(head))
     g = [F.regexp_extract("value", head, i) for i in range(8)]
     parts = F.transform(F.split(g[7], "-"), lambda s: F.regexp_replace(F.trim(s), r"\s+", " "))

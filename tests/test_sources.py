@@ -97,15 +97,15 @@ def test_detect():
 
 
 def test_trace_lines(spark):
-    ok = "% -1 2025-10-05 00:01:00.00 PHAS_MEAS G20 ALIC L1C 0.1 -2.5E-3 0.01 KF-1"
+    ok = "% -1 2021-03-04 00:01:00.00 PHAS_MEAS G20 ALIC L1C 0.1 -2.5E-3 0.01 KF-1"
     rows = T.trace(lines(spark, ok, ok.replace("KF-1", "1.5 2.5 KF-2"), "% short", "no trace", ok.replace("0.1 ", "nan? "))).collect()
     assert [(r.iter, r.prefit, r.prefit_ratio, r.label) for r in rows] == [(-1, 0.1, None, "KF-1"), (-1, 0.1, 1.5, "KF-2"), (-1, None, None, "KF-1")]
 
 
 def test_errors_and_resets(spark):
-    e = T.large_errors(lines(spark, "2025-10-06 04:25:00.00  LARGE MEAS  ERROR OF : 12.5 AT 3 : CODE_MEAS G03 BOGT L1C", "2025-10-06 04:25:00.00 LARGE STATE ERROR OF: 2.5 AT 30 : TROP BOGT 1", "x")).collect()
-    assert [(r.kind, r.value, r.sat, r.recv, r.param, r.comp) for r in e] == [("MEAS", 12.5, "G03", "BOGT", None, None), ("STATE", 2.5, None, "BOGT", "TROP", "1")]
-    a = T.ambiguity_resets(lines(spark, "2025-10-06 04:25:00.00  Ambiguity Removed      - PREPROC  AMBIGUITY  G03  BOGT  L1C  - GF  - SCDIA - GF", "2025-10-06 04:25:00.00  Ambiguity Removed      -  REJECT  AMBIGUITY  G27  DGAR  L2W")).collect()
+    e = T.large_errors(lines(spark, "2021-03-04 05:06:30.00  LARGE MEAS  ERROR OF : 12.5 AT 3 : CODE_MEAS E11 ALIC L1C", "2021-03-04 05:06:30.00 LARGE STATE ERROR OF: 2.5 AT 30 : TROP ALIC 1", "x")).collect()
+    assert [(r.kind, r.value, r.sat, r.recv, r.param, r.comp) for r in e] == [("MEAS", 12.5, "E11", "ALIC", None, None), ("STATE", 2.5, None, "ALIC", "TROP", "1")]
+    a = T.ambiguity_resets(lines(spark, "2021-03-04 05:06:30.00  Ambiguity Removed      - PREPROC  AMBIGUITY  E11  ALIC  L1C  - GF  - SCDIA - GF", "2021-03-04 05:06:30.00  Ambiguity Removed      -  REJECT  AMBIGUITY  R05  YARR  L2W")).collect()
     assert [(r.action, r.reasons) for r in a] == [("PREPROC", ["GF", "SCDIA"]), ("REJECT", ["KF"])]
 
 
