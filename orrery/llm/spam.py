@@ -29,9 +29,11 @@ STOPWORDS = frozenset(
 FEATURES = ("spam", "link", "tag", "stock", "keyword", "sentence", "structure", "plain", "stop", "repeat", "distinct", "urls", "hosts", "upper", "length")
 
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|https?://\S+|\bwww\.\S+|(?<!\S)(?:[a-z0-9-]+\.)+(?:example|com|org|net|info|biz|shop)(?:/\S*)?(?!\S)", re.I)
+_LINKISH = ("://", "](", "<a", "www.", ".example", ".com", ".org", ".net", ".info", ".biz", ".shop")
 _HOST = re.compile(r"(?:https?://)?(?:www\.|dl\.)?((?:[a-z0-9-]+\.)+[a-z]{2,})", re.I)
 _TAG = re.compile(r"(?<!\S)#\w+")
 _PRICE = re.compile(r"\d+[.,]\d{2}\s*(?:USD|EUR|GBP|CHF|credits?|dollars?|euros?|€|\$|£)|[€$£]\s*\d", re.I)
+_PRICED = ("usd", "eur", "gbp", "chf", "credit", "dollar", "€", "$", "£")
 _STRUCTURE = re.compile(
     r"^\s*(?:%\s|\d{1,2}:\d{2}:\d{2}\b|#+ \S|page \d+ of \d+|[\w-]+:\s*(?:\[.*\]|[\w.+-]*)\s*$|(?:tags|keywords)\s*:|\[\d+\]\s|[^|\n]{1,20}\|[^|\n]{1,20}\|\s*[\d.-]+\s*$|site \| )", re.I
 )
@@ -40,22 +42,30 @@ _SIDE = re.compile(r"[|/;•·,]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _any(marks: tuple[str, ...], low: str) -> bool:
+    for m in marks:
+        if m in low:
+            return True
+    return False
+
+
 def _kind(u: str, words: list[str], stops: int) -> str:
     """A unit's kind; a unit without a sentence's end needs two different function words to be one ('pas cher' is none)."""
     if _STRUCTURE.match(u):
         return "structure"
-    if len(_PRICE.findall(u)) and stops <= 1 + len(words) // 6:
+    low = u.lower()
+    if _any(_PRICED, low) and _PRICE.search(u) and stops <= 1 + len(words) // 6:
         return "stock"
-    bare = _LINK.sub(" ", u)
+    bare = _LINK.sub(" ", u) if _any(_LINKISH, low) else u
     if bare != u:
         rest = _WORD.findall(bare)
         # what is left of a cut anchor gives one 'a' after another
         s = len(STOPWORDS.intersection(w.lower() for w in rest))
         told = bare.strip().endswith((".", "?", "!")) and len(rest) >= 3 or s >= 2
         return "sentence" if told else "link"
-    if _TAG.search(u):
+    if "#" in u and _TAG.search(u):
         return "tag" if stops <= len(words) // 8 else "sentence"
-    if (u.rstrip().endswith((".", "?", "!")) and len(words) >= 3) or (len(words) >= 4 and stops * 12 >= len(words) and len(STOPWORDS.intersection(words)) >= 2):
+    if (u.rstrip()[-1:] in (".", "?", "!") and len(words) >= 3) or (len(words) >= 4 and stops * 12 >= len(words) and len(STOPWORDS.intersection(words)) >= 2):
         return "sentence"
     return "short"
 
@@ -85,8 +95,8 @@ def page_features(text: str) -> list[float]:
             if not u.strip():
                 continue
             raw = _WORD.findall(u)
-            words = [w.lower() for w in raw]
-            stops = sum(w in STOPWORDS for w in words)
+            words = list(map(str.lower, raw))
+            stops = len([1 for w in words if w in STOPWORDS])
             kind = _kind(u, words, stops)
             if kind == "short":
                 shorts.append((u, words))
@@ -97,7 +107,7 @@ def page_features(text: str) -> list[float]:
             if kind != "structure":
                 n_words += len(words)
                 n_stops += stops
-                n_upper += sum(len(w) > 1 and w.isupper() for w in raw)
+                n_upper += len([1 for w in raw if len(w) > 1 and w.isupper()])
                 vocabulary.update(words)
                 seen.update(zip(words, words[1:], strict=False))
     lone = [_phrase(u) for u, _ in shorts]
@@ -110,12 +120,12 @@ def page_features(text: str) -> list[float]:
     # a pair said at every eighth word is a keyword even between full stops
     main = {p for p, c in seen.items() if c >= 6 and 8 * c >= n_words and not STOPWORDS.intersection(p)}
     for u, words in told:
-        inside = sum(p in main for p in zip(words, words[1:], strict=False)) if main else 0
+        inside = len([1 for p in zip(words, words[1:], strict=False) if p in main]) if main else 0
         size["keyword" if inside and 6 * inside >= len(words) else "sentence"] += len(u)
     total = max(1, sum(size.values()))
     share = {k: size[k] / total for k in ("link", "tag", "stock", "keyword", "sentence", "structure", "plain")}
     grams = sum(seen.values())
-    links = _LINK.findall(text)
+    links = _LINK.findall(text) if _any(_LINKISH, text.lower()) else []
     hosts = {m.group(1).lower() for x in links if (m := _HOST.search(x))}
     return [
         share["link"] + share["tag"] + share["stock"] + share["keyword"], share["link"], share["tag"], share["stock"], share["keyword"], share["sentence"], share["structure"], share["plain"],
