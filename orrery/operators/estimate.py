@@ -210,11 +210,44 @@ def kalman(
     src = src.select(F.col(group).alias("g"), F.col(epoch).cast("double").alias("t"), F.col(state).cast("string").alias("s"), F.col(value).cast("double").alias("y"), F.col(var).cast("double").alias("r"), (F.col(coeff).cast("double") if coeff else F.lit(1.0)).alias("c"))
     gt = src.schema["g"].dataType.simpleString()
 
+    def one_state(pdf: pd.DataFrame, name: str) -> pd.DataFrame:
+        """The same recursion in plain numbers."""
+        x, p, last = 0.0, init_var, None
+        out: list[list] = []
+        ts, ys, rs, cs = (pdf[c].tolist() for c in ("t", "y", "r", "c"))
+        i, m = 0, len(ts)
+        while i < m:
+            t, j = ts[i], i
+            while j < m and ts[j] == t:
+                j += 1
+            f = 1.0
+            if last is not None:
+                f, qk, off = transition(kind, q, tau, mu, t - last)
+                x, p = f * x + off, f * f * p + qk
+            xm, pm = x, p
+            for k in range(i, j):
+                if sigma_limit is None or abs(ys[k] - cs[k] * xm) <= sigma_limit * (cs[k] * cs[k] * pm + rs[k]) ** 0.5:
+                    g = p * cs[k] / (cs[k] * cs[k] * p + rs[k])
+                    x, p = x + g * (ys[k] - cs[k] * x), (1 - g * cs[k]) * p
+            out.append([t, x, p, xm, pm, f])
+            last, i = t, j
+        xs, ps = [None] * len(out), [None] * len(out)
+        if smooth:
+            a, b = out[-1][1], out[-1][2]
+            xs[-1], ps[-1] = a, b
+            for k in range(len(out) - 2, -1, -1):
+                g = out[k][2] * out[k + 1][5] / out[k + 1][4] if out[k + 1][4] > 0 else 0.0
+                a, b = out[k][1] + g * (a - out[k + 1][3]), out[k][2] + g * g * (b - out[k + 1][4])
+                xs[k], ps[k] = a, b
+        return pd.DataFrame({"g": [pdf.g.iloc[0]] * len(out), "t": [o[0] for o in out], "s": name, "x": [o[1] for o in out], "p": [o[2] for o in out], "xs": np.array(xs, dtype=float), "ps": np.array(ps, dtype=float)})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "s", "y"], kind="stable")
         names = sorted(pdf.s.unique())
         at = {s: i for i, s in enumerate(names)}
         n = len(names)
+        if n == 1:
+            return one_state(pdf, names[0])
         x, p, seen, last = np.zeros(n), np.zeros((n, n)), np.zeros(n, bool), None
         epochs, minus, plus, trans = [], [], [], []
         for t, e in pdf.groupby("t", sort=True):

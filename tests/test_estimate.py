@@ -42,6 +42,19 @@ def test_outliers_are_rejected(spark):
     assert max(abs(r.x - 1) for r in got) < 0.05
 
 
+def test_one_state_alone_is_the_state_beside_another(spark):
+    rnd = random.Random(5)
+    one = [("a", float(i // 2), "x", rnd.gauss(0, 1) + (40 if i == 9 else 0), 0.5 + i % 3) for i in range(40)]
+    other = [("a", float(i), "y", 1.0, 1.0) for i in range(20)]
+    schema = "g string, t double, s string, y double, r double"
+    for kind in ("walk", "markov", "const"):
+        a, b = (
+            {r.t: (r.x, r.p, r.xs, r.ps) for r in E.kalman(spark.createDataFrame(rows, schema), "g", "t", "s", "y", "r", kind=kind, q=0.3, tau=7.0, mu=0.5, init_var=100.0, sigma_limit=5.0, smooth=True).collect() if r.s == "x"}
+            for rows in (one, one + other)
+        )
+        assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t], rel=1e-6, abs=1e-9) for t in a)
+
+
 def test_transitions():
     assert E.transition("walk", 2.0, 0, 0, -3) == (1.0, 6.0, 0.0)
     f, q, o = E.transition("markov", 2.0, 10.0, 5.0, 10.0)
