@@ -101,15 +101,14 @@ def bias_sinex(lines: DataFrame) -> DataFrame:
 
 def rinex_clock(lines: DataFrame) -> DataFrame:
     """AS and AR records: id, epoch, clock and its deviation in seconds."""
-    m = r"^(AS|AR)\s+(\S+)\s+(\d{4})\s+(\d{1,2})\s+(\d{1,2})\s+(\d{1,2})\s+(\d{1,2})\s+(\d{1,2}\.\d+)\s+(\d+)\s+(\S+)(?:\s+(\S+))?"
-    x = lines.where(F.col("value").rlike(m))
-    g = [F.regexp_extract("value", m, i) for i in range(12)]
-    t = F.try_make_timestamp(*[g[i].cast("int") for i in range(3, 8)], g[8].try_cast("decimal(8,6)"))
+    p = F.col("_p")
+    x = lines.where(F.col("value").rlike("^A[SR] ")).select(F.split(F.trim("value"), r"\s+").alias("_p")).where(F.size("_p") >= 10)
+    t = F.try_make_timestamp(*[p[i].try_cast("int") for i in range(2, 7)], p[7].try_cast("decimal(8,6)"))
 
     def num(c: Column) -> Column:
         return F.regexp_replace(c, "[dD]", "E").try_cast("double")
 
-    return x.select(g[1].alias("type"), g[2].alias("id"), t.alias("epoch"), num(g[10]).alias("clk"), num(g[11]).alias("clk_std"))
+    return x.select(p[0].alias("type"), p[1].alias("id"), t.alias("epoch"), num(p[9]).alias("clk"), num(F.get("_p", F.lit(10))).alias("clk_std"))
 
 
 def erp(lines: DataFrame) -> DataFrame:
