@@ -320,7 +320,7 @@ def hatch_smooth(df: DataFrame, group: Sequence[str], order: Sequence[str], p: s
 
 
 def low_pass(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, var: str, q: float, out: str = "filtered") -> DataFrame:
-    """Variance-weighted recursive mean: the scalar filter with process noise q squared a step."""
+    """Variance-weighted recursive mean: the scalar filter with process noise q squared a step, the gain with the prior variance in it."""
 
     def step(s, row):
         m, r = row

@@ -64,7 +64,10 @@ def hatch_smooth(spark, base):
     return rounded(E.hatch_smooth(p, ["site"], ["us", "pos_id"], "P", "L", "us", outage_s=3600), "smoothed").select("pos_id", "smoothed")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT event_id, user_id, k, value AS m, 25.0::DOUBLE AS p FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.k, f.m + (e.value - f.m) * (f.p + 1) / (25 + f.p + 1), 1 / (1 / 25.0::DOUBLE + 1 / (f.p + 1)) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, {q6("m")} AS filtered FROM f""")
 def low_pass(spark, base):
     e = table(spark, base, "events").withColumn("r", F.lit(25.0))
     return rounded(E.low_pass(e.select("event_id", "user_id", "ts", "value", "r"), ["user_id"], ["ts", "event_id"], "value", "r", 1.0), "filtered").select("event_id", "filtered")

@@ -227,7 +227,9 @@ def gap_breaks(spark, base):
     return W.break_rows(p, ["site"], "time", ["dN"], 3600)
 
 
-@query()
+@query("""WITH g AS (SELECT event_id, user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS b, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (SELECT *, coalesce(b > 43200 AND a > 43200, false) AS lone FROM g), j AS (SELECT *, lone AND a < b AS joins FROM l), s AS (SELECT *, lag(joins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pj FROM j)
+SELECT event_id, CAST(sum(CASE WHEN lone THEN CAST(joins AS INTEGER) WHEN pj THEN 0 WHEN b > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS arc FROM s""")
 def singleton_arcs(spark, base):
     return W.join_singletons(table(spark, base, "events"), ["user_id"], "ts", ["ts", "event_id"], 43_200).select("event_id", "arc")
 

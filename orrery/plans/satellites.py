@@ -156,7 +156,8 @@ def seasonal_troposphere(spark, base):
     return p.select("pos_id", r6(d).alias("delay"), r6(m).alias("mapping"))
 
 
-@query()
+@query(f"""WITH z AS (SELECT event_id, least((user_id % 95) / 5.0, 18.0) AS f FROM events), i AS (SELECT *, least(floor(f), 17) AS i FROM z)
+SELECT event_id, {q6("0.001 * i * i + (0.001 * (i + 1) * (i + 1) - 0.001 * i * i) * (f - i)")} AS pcv FROM i""")
 def antenna_pattern(spark, base):
     pcv = F.array(*[F.lit(0.001 * k * k) for k in range(19)])
     z = table(spark, base, "events").select("event_id", (F.col("user_id") % 95).cast("double").alias("z"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
@@ -37,10 +37,8 @@ def _stream(spark, base, name):
     return reader.parquet(path)
 
 
-def _run(spark, df, name, base, mode="append"):
-    out = f"{shared_dir(spark)}/stream-{name}-{zlib.crc32(base.encode())}"
-    if out.startswith("file:") or out.startswith("/"):
-        shutil.rmtree(out.removeprefix("file://"), ignore_errors=True)
+def _run(spark, df, name, mode="append"):
+    out = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/data")
@@ -54,13 +52,17 @@ def stream_epoch_sync(spark, base):
     x = classify(e, "ts", 1800, 300).where("within")
     g = x.groupBy("user_id", (F.col("epoch_us") / 1_000_000).cast("long").alias("epoch_s")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     out = f"stream_epochs_{zlib.crc32(base.encode())}"
-    q = g.writeStream.format("memory").queryName(out).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{out}-{os.urandom(4).hex()}").trigger(availableNow=True).start()
+    q = g.writeStream.format("memory").queryName(out).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{out}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return rounded(spark.table(out), "mean")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM events),
+f AS (SELECT user_id, k, t, 1e6 / (1e6 + 100) * value AS x, (1 - 1e6 / (1e6 + 100)) * 1e6 AS p FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.k, e.t, f.x + (f.p + 1e-4 * (e.t - f.t)) / (f.p + 1e-4 * (e.t - f.t) + 100) * (e.value - f.x), (1 - (f.p + 1e-4 * (e.t - f.t)) / (f.p + 1e-4 * (e.t - f.t) + 100)) * (f.p + 1e-4 * (e.t - f.t))
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, t AS ts, {q6("x")} AS x, {q6("p")} AS p FROM f""")
 def stream_filter(spark, base):
     """A random-walk filter per user, its state carried across micro-batches."""
     e = _stream(spark, base, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("r", F.lit(100.0))
-    return rounded(_run(spark, stateful_filter(e, "user_id", "ts", "value", "r", 1e-4), "filter", base), "x", "p")
+    return rounded(_run(spark, stateful_filter(e, "user_id", "ts", "value", "r", 1e-4), "filter"), "x", "p").withColumnRenamed("t", "ts")
