@@ -105,3 +105,9 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Initial bearing in degrees, [0, 360)."""
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     return F.pmod(F.degrees(F.atan2(F.sin(dl) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl))), F.lit(360.0))
+
+
+def quaternion_angle(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Angle in radians between two attitudes given as unit quaternions."""
+    d = F.abs(a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3])
+    return 2 * F.acos(F.least(d, F.lit(1.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,3 +95,34 @@ def unshared_states(design: DataFrame, meas: str, state: str) -> DataFrame:
     once = design.groupBy(state).agg(F.countDistinct(meas).alias("_n"), F.min(meas).alias(meas)).where("_n = 1")
     g = once.groupBy(meas).agg(F.array_sort(F.collect_list(state)).alias("states"))
     return g.where(F.size("states") >= 2)
+
+
+def measurement_documents(df: DataFrame, by: Sequence[str], comment: str, num: str, kinds: Sequence[str]) -> DataFrame:
+    """One document per key: a map from '<comment>-<num>-<Kind>' to the value, kinds being columns such as Prefit, Postfit, Sigma. Of doubled names the largest value stands."""
+    long = F.explode(F.array(*[F.struct(F.concat_ws("-", comment, num, F.lit(k)).alias("key"), F.col(k).cast("double").alias("value")) for k in kinds]))
+    one = df.select(*by, long.alias("_e")).where("_e.value IS NOT NULL").groupBy(*by, F.col("_e.key").alias("_k")).agg(F.max("_e.value").alias("_v"))
+    return one.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("document"))
+
+
+def merge_filters(filters: Sequence[DataFrame], keep: Sequence[str] | None = None) -> DataFrame:
+    """Several filters' long covariances (i, j, p) as one block-diagonal filter, of the kept states only; states of different filters do not correlate."""
+    parts = []
+    for k, f in enumerate(filters):
+        x = f if keep is None else f.where(F.col("i").isin(*keep) & F.col("j").isin(*keep))
+        parts.append(x.withColumn("filter", F.lit(k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def align_clocks(states: DataFrame, broadcast: DataFrame, key: str, clock: str, max_offset: float, tau: float) -> DataFrame:
+    """Adds mu and tau: the mean each clock state is drawn to where its broadcast clock is within max_offset; elsewhere mu is null and tau -1 (not drawn)."""
+    j = states.join(broadcast.select(key, F.col(clock).alias("_b")), key, "left")
+    near = F.coalesce(F.abs(F.col(clock) - F.col("_b")) <= max_offset, F.lit(False))
+    return j.withColumn("mu", F.when(near, F.col("_b"))).withColumn("tau", F.when(near, tau).otherwise(-1.0)).drop("_b")
+
+
+def pair_by_stem(files: DataFrame, path: str, suffix: str) -> DataFrame:
+    """(stem, forward, smoothed): files paired by the name without the suffix that marks smoothed ones."""
+    name = F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    x = files.select(F.col(path).alias("_f"), name.alias("_n")).withColumn("_s", F.col("_n").endswith(suffix))
+    x = x.withColumn("stem", F.when(F.col("_s"), F.expr(f"left(_n, length(_n) - {len(suffix)})")).otherwise(F.col("_n")))
+    return x.groupBy("stem").agg(F.min(F.when(~F.col("_s"), F.col("_f"))).alias("forward"), F.min(F.when(F.col("_s"), F.col("_f"))).alias("smoothed")).where("forward IS NOT NULL AND smoothed IS NOT NULL")

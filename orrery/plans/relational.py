@@ -530,6 +530,21 @@ def states_round_trip(spark, base):
     return D.reshape_states(docs, ["l_orderkey"], "l_linenumber", ["l_quantity", "l_tax"], [1, 2])
 
 
+@query(f"""WITH k AS (SELECT datetime, recv, sat, meas || '-' || sig AS c, max(prefit) AS p, max(postfit) AS q FROM {RESIDUALS} GROUP BY ALL), e AS (SELECT datetime, recv, sat, c || '-prefit' AS k, p AS v FROM k UNION ALL SELECT datetime, recv, sat, c || '-postfit', q FROM k)
+SELECT epoch_us(datetime) AS us, recv, sat, string_agg(k, ',' ORDER BY k) AS names, {q6("sum(v)")} AS total FROM e GROUP BY 1, 2, 3""")
+def measurement_documents(spark, base):
+    d = D.measurement_documents(residuals(spark, base), ["datetime", "recv", "sat"], "meas", "sig", ["prefit", "postfit"])
+    total = F.aggregate(F.map_values("document"), F.lit(0.0), lambda a, v: a + v)
+    return d.select(micros("datetime").alias("us"), "recv", "sat", F.array_join(F.map_keys("document"), ",").alias("names"), r6(total).alias("total"))
+
+
+@query("""SELECT c_custkey, CASE WHEN abs(c_acctbal - n) <= 500 THEN n END AS mu, CASE WHEN abs(c_acctbal - n) <= 500 THEN 60.0 ELSE -1.0 END AS tau FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) / 100 AS n FROM orders GROUP BY 1) ON k = c_custkey""")
+def clock_alignment(spark, base):
+    c = table(spark, base, "customer").select("c_custkey", F.col("c_acctbal").alias("clk"))
+    b = table(spark, base, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.max("o_totalprice") / 100).alias("clk"))
+    return D.align_clocks(c, b, "c_custkey", "clk", 500.0, 60.0).select("c_custkey", "mu", "tau")
+
+
 @query("""SELECT event_id, '{"id":{"user_id":' || user_id || ',"event_type":"' || event_type || '"},"val":{"event_id":' || event_id || '}}' AS doc FROM events""")
 def trace_json(spark, base):
     return table(spark, base, "events").select("event_id", D.to_document(["user_id", "event_type"], ["event_id"]).alias("doc"))

@@ -123,3 +123,12 @@ def test_expiry_keeps_the_newest(spark):
     assert [r.i for r in S.expire(d, ["k"], "t", now, 5).collect()] == [2]
     mid = int((T0 - datetime(1970, 1, 1)).total_seconds() * 1e6) + 90_000_000
     assert sorted(r.i for r in S.keep_current(d, ["k"], "t", mid).collect()) == [1, 2]
+
+
+def test_documents_pairs_and_merges(spark):
+    m = spark.createDataFrame([("e", "C", 1, 0.5, None), ("e", "P", 2, 1.5, 2.5), ("e", "P", 2, 1.0, 3.0)], "k string, c string, n int, Prefit double, Postfit double")
+    assert D.measurement_documents(m, ["k"], "c", "n", ["Prefit", "Postfit"]).first().document == {"C-1-Prefit": 0.5, "P-2-Prefit": 1.5, "P-2-Postfit": 3.0}
+    f = spark.createDataFrame([("/a/net.trace",), ("/b/net_smoothed.trace",), ("/a/alone.trace",)], "p string")
+    assert [tuple(r) for r in D.pair_by_stem(f, "p", "_smoothed").collect()] == [("net", "/a/net.trace", "/b/net_smoothed.trace")]
+    a = spark.createDataFrame([("x", "x", 1.0), ("x", "y", 0.5), ("y", "y", 2.0)], "i string, j string, p double")
+    assert sorted((r["filter"], r.i, r.j) for r in D.merge_filters([a, a], ["x"]).collect()) == [(0, "x", "x"), (1, "x", "x")]
