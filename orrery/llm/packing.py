@@ -97,15 +97,16 @@ def _carried(fill: list[int], capacity: int, full: float, carry: int) -> np.ndar
 def pack(sizes: DataFrame, targets: DataFrame, items_per_task: int = 20_000, fan_in: int = 8, full: float = 0.98, carry: int = 512) -> DataFrame:
     """(target, container_id, id, piece, start, tokens): where each document's tokens lie.
 
-    sizes is (id, size), targets (target, capacity_tokens). A document of at most the capacity is one piece; a longer one is cut into full
+    sizes is (id, size), targets (target, capacity_tokens), a short list read by the driver. A document of at most the capacity is one piece; a longer one is cut into full
     containers and a rest that is packed like any other. Documents without tokens (null or empty) lie in no container. Repeated rows are
     packed each. A target without a positive capacity gets nothing. Every token is in exactly one container and none
     holds more than its capacity, whatever ``carry`` and ``full`` are; they only trade unused space for work.
     """
-    goal = targets.where("capacity_tokens > 0").select("target", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
+    goal = targets.where("capacity_tokens > 0").select("target", F.col("capacity_tokens").cast("long")).distinct().collect()
+    each = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(int(c)).cast("long").alias("cap")) for t, c in goal]) if goal else F.array().cast("array<struct<target:string,cap:bigint>>")
     have = checkpointed(sizes.where("size > 0")).withColumn("row", F.monotonically_increasing_id())
     parts = max(1, -(-have.count() // items_per_task))
-    all_ = have.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(sized(goal))
+    all_ = have.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_g", F.explode(each)).select("id", "size", "row", "part", "_g.target", "_g.cap")
     whole = all_.where("size >= cap").select("target", "id", "row", "cap", F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / F.col("cap")) - 1).cast("int"))).alias("piece"))
     whole = whole.select("target", F.concat_ws("/", "target", F.lit("w"), "row", "piece").alias("container_id"), "id", "piece", (F.col("piece") * F.col("cap")).alias("start"), F.col("cap").alias("tokens"))
     rest = all_.select("target", "cap", "part", "id", "row", (F.col("size") % F.col("cap")).alias("s"), F.floor(F.col("size") / F.col("cap")).cast("int").alias("piece")).where("s > 0")
