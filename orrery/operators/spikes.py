@@ -5,11 +5,15 @@ day, so a task holds at most one day of one series however hot the series is:
 
 1. summary: each chunk emits a bounded set of weighted centroids of its values and the runs of
    equal values touching its two ends;
-2. merge: the centroids of all chunks of a series give its median and its usual spread; the edge
-   runs are joined across chunks, so a run over midnight is counted whole;
-3. flag: the same shuffled rows (Spark reuses the exchange) meet the merged limits. Robust ellipsoids
-   over value, first and second differences screen the epochs, repeated until no new point falls
-   outside; zero-difference runs and bounds catch the other faults.
+2. merge: the centroids of all chunks of a series give its median (off by at most one middle group)
+   and a first spread from the median deviation; the edge runs are joined across chunks, so a run over
+   midnight is counted whole;
+3. spread: count, sum and sum of squares over all rows within k spreads, combined map side, repeated
+   for the series whose limit still passes a value, so that the spread is exact however many spikes
+   a chunk holds;
+4. flag: the rows of a chunk meet the merged limits. Robust ellipsoids over value, first and second
+   differences screen the epochs, repeated until no new point falls outside; zero-difference runs and
+   bounds catch the other faults.
 
 An ellipsoid's value axis is sqrt(2 ln n) usual spreads, under 5 for a day of one-second epochs, so
 everything beyond the final limit of ``k`` = 10 spreads is outside it and the exact check of that
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import micros
+from orrery.session import checkpointed, micros, sized
 
 DAY_US = 86_400_000_000
 CENTROIDS = 64
@@ -86,8 +90,8 @@ def _centroids(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return cnt, mean, m2
 
 
-def series_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray, k: float) -> tuple[float, float]:
-    """Median and usual spread from centroids: the standard deviation of what lies within k spreads of the median."""
+def first_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple[float, float]:
+    """Median and first spread from centroids, by the median deviation; where that is zero, by the nearest 95 %."""
     order = np.argsort(mean, kind="stable")
     cnt, mean, m2 = cnt[order], mean[order], m2[order]
     cum = np.cumsum(cnt)
@@ -101,8 +105,15 @@ def series_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray, k: float) -
     if s == 0.0:
         part = by[: int(np.searchsorted(dc, 0.95 * dc[-1])) + 1]
         s = float(np.sqrt((cnt[part] * dev[part] ** 2 + m2[part]).sum() / cnt[part].sum()))
-        if s == 0.0:
-            return med, 0.0
+    return med, s
+
+
+def series_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray, k: float) -> tuple[float, float]:
+    """Median and usual spread from centroids: the standard deviation of what lies within k spreads of the median."""
+    med, s = first_limits(cnt, mean, m2)
+    if s == 0.0:
+        return med, 0.0
+    dev = np.abs(mean - med)
     for _ in range(30):
         inside = dev <= k * s
         w = cnt[inside].sum()
@@ -114,6 +125,52 @@ def series_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray, k: float) -
     return med, s
 
 
+def exact_spreads(rows: DataFrame, first: DataFrame, keys: Sequence[str], nf: int, k: float) -> DataFrame:
+    """The keys and _sp0, _sp1, ...: standard deviations of the finite values of each series within k of these same spreads.
+
+    first holds one row a series with _med and _sp of each field. Each round reads all rows of the series that
+    aren't settled. A field is settled when k new spreads hold the same values as k old ones did, or when the
+    limit would turn back, so each round but the last moves the limit past a value.
+    """
+    live = first
+    for i in range(nf):
+        sp = F.col(f"_sp{i}")
+        live = live.withColumns({f"_on{i}": (sp > 0) & ~F.isnan(sp), f"_dir{i}": F.lit(0.0)})
+    live, done = checkpointed(live), None
+    out = [*keys, *[f"_sp{i}" for i in range(nf)]]
+    open_ = F.lit(False)
+    for i in range(nf):
+        open_ = open_ | F.col(f"_on{i}")
+    while True:
+        settled = live.where(~open_).select(*out)
+        done = settled if done is None else done.unionByName(settled)
+        live = live.where(open_)
+        if live.isEmpty():
+            return done
+        side = sized(live.withColumnsRenamed({c: f"_s{c}" for c in keys}))
+        on = F.lit(True)
+        for c in keys:
+            on = on & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+        sums = []
+        for i in range(nf):
+            v, u = F.col(f"_f{i}"), F.col(f"_f{i}") - F.col(f"_med{i}")
+            fin = F.col(f"_on{i}") & ~F.isnan(v) & (F.abs(v) < float("inf"))
+            inside, limit = F.abs(u) <= k * F.col(f"_sp{i}"), F.abs(u)
+            sums += [F.first(f"_{c}{i}").alias(f"_{c}{i}") for c in ("med", "sp", "on", "dir")]
+            sums += [F.count(F.when(fin & inside, 1)).alias(f"_n{i}"), F.sum(F.when(fin & inside, u)).alias(f"_u{i}"), F.sum(F.when(fin & inside, u * u)).alias(f"_q{i}")]
+            sums += [F.max(F.when(fin & inside, limit)).alias(f"_in{i}"), F.min(F.when(fin & ~inside, limit)).alias(f"_out{i}")]
+        live = rows.join(side, on).groupBy(*keys).agg(*sums)
+        for i in range(nf):
+            n, q, sp, way = (F.col(f"_{c}{i}") for c in ("n", "q", "sp", "dir"))
+            var = q / n - (F.col(f"_u{i}") / n) ** 2
+            # values that are all equal have no spread but the first one
+            nxt = F.when(F.col(f"_on{i}") & (n > 0) & (var > 1e-12 * q / n), F.sqrt(var)).otherwise(sp)
+            same = (nxt == sp) | ((F.col(f"_in{i}") <= k * nxt) & F.coalesce(F.col(f"_out{i}") > k * nxt, F.lit(True)))
+            turned = (way != 0) & (F.signum(nxt - sp) != way)
+            live = live.withColumns({f"_sp{i}": nxt, f"_on{i}": F.col(f"_on{i}") & ~same & ~turned, f"_dir{i}": F.signum(nxt - sp)})
+        live = checkpointed(live.select(*keys, *[f"_{c}{i}" for i in range(nf) for c in ("med", "sp", "on", "dir")]))
+
+
 def _epochs(t: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort order by time then id, and the positions in it where a new epoch begins."""
     order = np.lexsort((ids, t))
@@ -215,7 +272,7 @@ def flag_spikes(
         for i in range(nf):
             s = [x for x in t[f"_s{i}"].take(pa.array(order)).to_pylist()]
             cnt, mean, m2 = (np.concatenate([np.asarray(x[c], dtype=float) for x in s]) for c in "cmq")
-            med, sp = series_limits(cnt, mean, m2, k) if len(cnt) else (np.nan, np.nan)
+            med, sp = first_limits(cnt, mean, m2) if len(cnt) else (np.nan, np.nan)
             pre, post = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             for fwd in (True, False):
                 run, val = 0, None
@@ -229,7 +286,13 @@ def flag_spikes(
             out |= {f"_med{i}": pa.array(np.full(n, med)), f"_sp{i}": pa.array(np.full(n, sp)), f"_pre{i}": pa.array(pre), f"_post{i}": pa.array(post)}
         return pa.table(out)
 
-    limits = summary.groupBy(*gk).applyInArrow(merge, schema=f"{key_ddl}, _day int, {lim}")
+    merged = checkpointed(summary.groupBy(*gk).applyInArrow(merge, schema=f"{key_ddl}, _day int, {lim}"))
+    first_of = merged.groupBy(*gk).agg(*[F.first(f"_{c}{i}").alias(f"_{c}{i}") for i in range(nf) for c in ("med", "sp")])
+    spreads = exact_spreads(rows, first_of, gk, nf, k).withColumnsRenamed({c: f"_s{c}" for c in gk})
+    same_series = F.lit(True)
+    for c in gk:
+        same_series = same_series & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+    limits = merged.drop(*[f"_sp{i}" for i in range(nf)]).join(sized(spreads), same_series).select(*chunk, *[f"_{c}{i}" for i in range(nf) for c in ("med", "sp", "pre", "post")])
 
     def flag(t: pa.Table, lim_t: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("id", "field", "value", "reason", "med", "sp")}

@@ -128,3 +128,19 @@ def test_phase_space_and_limits():
     med, sp = series_limits(np.ones(500), v, np.zeros(500), 10.0)
     assert abs(med - 5) < 0.02 and abs(sp - 0.1) < 0.01
     assert series_limits(np.ones(3), np.ones(3), np.zeros(3), 10.0) == (1.0, 0.0)
+
+
+def test_many_spikes_on_one_side_of_a_day(spark):
+    v = noise(2880, sigma=1.0)
+    at = range(30, 2880, 71)
+    for j, i in enumerate(at):
+        v[i] = 12.0 + 48.0 * j / len(at) if j % 2 else 12.5
+    got = {k[0] for k, r in found(spark, rows(v)).items() if r == "spike" and k[1] == "prefit"}
+    assert got == {i + 1 for i in at} and len(got) == 41
+
+
+def test_spread_is_that_of_all_rows_within_the_limit(spark):
+    v = noise(2880, sigma=1.0)
+    v[100:2800:90] = [15.0] * 30
+    r = flag_spikes(spark.createDataFrame(rows(v), SCHEMA)).where("field = 'prefit' AND reason = 'spike'").agg(F.count("*").alias("n"), F.max("series_spread").alias("s")).first()
+    assert r.n == 30 and abs(r.s - np.std([x for x in v if x != 15.0])) < 1e-9
