@@ -12,7 +12,7 @@ from orrery.operators import select as S
 from orrery.operators import series as W
 from orrery.operators import stats as A
 from orrery.operators import store as D
-from orrery.plans.util import RESIDUALS, q6, r6, residuals, rounded
+from orrery.plans.util import RESIDUALS, finite_residuals, q6, r6, residuals, rounded
 from orrery.streaming.epochs import classify, infer_interval, periodic_reset
 from orrery.session import micros, sized, table
 
@@ -385,7 +385,7 @@ def chi2_test(spark, base):
 
 @query()
 def chi2_pass(spark, base):
-    r = residuals(spark, base).withColumn("v", F.col("sigma") * F.col("sigma"))
+    r = finite_residuals(spark, base, "postfit").withColumn("v", F.col("sigma") * F.col("sigma"))
     return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "dof", r6("limit").alias("limit"), "pass")
 
 

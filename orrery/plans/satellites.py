@@ -12,7 +12,7 @@ from orrery.functions import time as T
 from orrery.operators import estimate as E
 from orrery.operators import gnss as N
 from orrery.operators import models as M
-from orrery.plans.util import q6, r6, residuals, rounded
+from orrery.plans.util import q6, r6, rounded
 from orrery.session import micros, sized, table
 
 QUERIES: dict = {}
@@ -215,7 +215,7 @@ def residual_geometry(spark, base):
     s = table(spark, base, "station")
     x, y, z = G.geodetic_to_ecef(F.radians("Latitude"), F.radians("Longitude"), F.col("Elevation"))
     s = s.select(F.col("site").alias("recv"), F.radians("Latitude").alias("la"), F.radians("Longitude").alias("lo"), x.alias("rx"), y.alias("ry"), z.alias("rz"))
-    r = residuals(spark, base).groupBy("recv", "sat", F.floor(micros("datetime") / 900e6).alias("slot")).agg(F.count("*").alias("n"))
+    r = table(spark, base, "residual").groupBy("recv", "sat", F.floor(micros("datetime") / 900e6).alias("slot")).agg(F.count("*").alias("n"))
     j = r.join(o, ["sat", "slot"]).join(s, "recv")
     e, n, u = G.to_enu(F.col("la"), F.col("lo"), F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("z") - F.col("rz"))
     j = j.withColumns({"e": e, "no": n, "u": u})

@@ -23,7 +23,12 @@ def residuals(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "residual").where(ok)
 
 
-#: The same rows in SQL, and rounding as by r6.
+def finite_residuals(spark: SparkSession, base: str, column: str) -> DataFrame:
+    """Residual rows with a finite value in the one column that is read, whatever the other holds."""
+    return table(spark, base, "residual").where(f"{column} IS NOT NULL AND NOT isnan({column}) AND abs({column}) < double('inf')")
+
+
+#: The rows of residuals() in SQL, and rounding as by r6.
 RESIDUALS = "(SELECT * FROM residual WHERE prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) <= 1000 AND postfit IS NOT NULL AND NOT isnan(postfit) AND abs(postfit) <= 1000)"
 
 
