@@ -24,15 +24,19 @@ def _double(c: Column) -> Column:
 
 
 def trace(lines: DataFrame) -> DataFrame:
-    """'%' residual lines of 12 fields, or 14 with ratios."""
+    """'%' residual lines of 12 fields, or 14 with ratios. '-' is a null text, what is no number a null number."""
     p = F.col("_p")
+
+    def word(c: Column) -> Column:
+        return F.when(c != "-", c)
+
     x = lines.where(F.col("value").startswith("%")).withColumn("_p", F.split(F.trim(F.col("value")), r"\s+")).where(F.size("_p") >= 12)
     long = F.size("_p") >= 14
     return x.select(
-        p[1].try_cast("int").alias("iter"), _stamp(p[2], p[3]).alias("datetime"), p[4].alias("meas"), p[5].alias("sat"), p[6].alias("recv"), p[7].alias("sig"),
+        p[1].try_cast("int").alias("iter"), _stamp(p[2], p[3]).alias("datetime"), *[word(p[i]).alias(c) for i, c in enumerate(("meas", "sat", "recv", "sig"), 4)],
         _double(p[8]).alias("prefit"), _double(p[9]).alias("postfit"), _double(p[10]).alias("sigma"),
         F.when(long, _double(F.get("_p", F.lit(11)))).alias("prefit_ratio"), F.when(long, _double(F.get("_p", F.lit(12)))).alias("postfit_ratio"),
-        F.when(long, F.get("_p", F.lit(13))).otherwise(p[11]).alias("label"),
+        word(F.when(long, F.get("_p", F.lit(13))).otherwise(p[11])).alias("label"),
     )
 
 

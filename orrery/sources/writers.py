@@ -21,11 +21,16 @@ def _seconds(t: Column) -> Column:
 
 
 def trace_lines(df: DataFrame, file: Column) -> DataFrame:
-    """Residual rows as '%' lines, with ratios where both are present."""
-    ratio = F.when(F.col("prefit_ratio").isNotNull() & F.col("postfit_ratio").isNotNull(), F.format_string(" %.6f %.6f", "prefit_ratio", "postfit_ratio")).otherwise("")
+    """Residual rows as '%' lines, one for each, with ratios where one is present. A null or empty text is written as '-', a null number as 'null'; text.trace reads both as null."""
+
+    def word(c: str) -> Column:
+        return F.when(F.col(c) != "", F.col(c)).otherwise("-")
+
+    stamp = F.coalesce(_stamp(F.col("datetime"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("- -"))
+    ratio = F.when(F.col("prefit_ratio").isNotNull() | F.col("postfit_ratio").isNotNull(), F.format_string(" %.6f %.6f", "prefit_ratio", "postfit_ratio")).otherwise("")
     v = F.concat(
-        F.format_string("%% %d %s %s %s %s %s %.6f %.6f %.6f", F.col("iter").cast("int"), _stamp(F.col("datetime"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("meas"), F.col("sat"), F.col("recv"), F.col("sig"), F.col("prefit"), F.col("postfit"), F.col("sigma")),
-        ratio, F.lit(" "), F.col("label"),
+        F.format_string("%% %d %s %s %s %s %s %.6f %.6f %.6f", F.col("iter").cast("int"), stamp, *[word(c) for c in ("meas", "sat", "recv", "sig")], F.col("prefit"), F.col("postfit"), F.col("sigma")),
+        ratio, F.lit(" "), word("label"),
     )
     return df.select(file.alias("file"), F.struct("datetime", "recv", "sat", "sig", "meas", "iter").alias("seq"), v.alias("value"))
 

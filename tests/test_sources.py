@@ -172,3 +172,17 @@ def test_checksum_and_columns(spark):
         doy_range(F.lit("17-19")).alias("d"), period_seconds(F.lit(2.0), F.lit("Hours")).alias("p"), nearest_week(F.lit(1012), F.lit(2036)).alias("w"),
     ).first()
     assert (r.n, r.c, r.r, r.u, r.b, r.d, r.p, r.w) == (150.0, "9205301", "TRM59800.00     NONE", None, -5, [17, 18, 19], 7200.0, 2036)
+
+
+def test_trace_lines_of_nulls_round_trip(spark):
+    t = datetime(2019, 7, 18, 1, 2, 3)
+    names = ["iter", "datetime", "meas", "sat", "recv", "sig", "prefit", "postfit", "sigma", "prefit_ratio", "postfit_ratio", "label"]
+    rows = [
+        (1, t, "CODE_MEAS", "G01", "ALIC", "L1C", 0.5, 0.25, 0.125, None, None, None),
+        (2, t, "CODE_MEAS", "G01", "ALIC", "L1C", 0.5, 0.25, None, 1.5, 2.5, None),
+        (3, t, "CODE_MEAS", None, "ALIC", None, None, None, None, None, 2.5, "KF-1"),
+        (4, None, "CODE_MEAS", "G01", "ALIC", "L1C", 0.5, 0.25, 0.125, None, None, "KF-2"),
+    ]
+    kinds = ["int", "timestamp_ntz", *["string"] * 4, *["double"] * 5, "string"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    assert sorted(map(tuple, T.trace(W.trace_lines(df, F.lit("x"))).select(*names).collect())) == rows
