@@ -70,7 +70,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return score_pages(table(spark, base, "documents")).where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_daily_sketch": p1_daily_sketch, "p1_percentiles": p1_percentiles, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 
 _P1_SKETCH = """
 SELECT sig, sat,

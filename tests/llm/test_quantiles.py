@@ -46,3 +46,9 @@ def test_empty_and_clashing_names(spark):
 def test_pre_aggregates_before_the_shuffle(spark):
     df = spark.range(10).select(F.lit("k").alias("k"), F.rand().alias("x"))
     assert "partial_count" in Q.sketch(df, ["k"], "x")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_whole_report_stands_first():
+    from orrery.llm.queries import QUERIES
+
+    assert next(q for q in QUERIES if q.startswith("p1_")) == "p1_percentiles"
