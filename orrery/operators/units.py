@@ -2,7 +2,7 @@
 
 A reading's unit comes from the text beside its number, then from a unit column, then from what linked readings say.
 For the last, the same entities (site and hour) are linked across sources by an equi-join on
-pre-aggregated keys; each pair of sources gets a robust scale (median ratio) and offset, the scales are
+pre-aggregated keys; each pair of sources gets a robust scale (median ratio) but no offset, the scales are
 propagated through the source graph from a source whose unit is known, and snapped to known conversions.
 A source is a label as written, or an unlabelled field together with the order of magnitude of its
 numbers, so units mixed without labels in one site still part into sources.
@@ -85,7 +85,7 @@ def magnitude(v: Column) -> Column:
 
 
 def scale_edges(left: DataFrame, right: DataFrame, power: int) -> DataFrame:
-    """(a, b, power, ratio, offset, n) for each pair of linked sources: scale_b = scale_a ** power * ratio.
+    """(a, b, power, ratio, n) for each pair of linked sources: scale_b = scale_a ** power * ratio. No offset is estimated.
 
     left and right are (entity columns..., node, v); right should hold few rows an entity. Pairs meet by the entity key only.
     """
