@@ -70,7 +70,14 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return score_pages(table(spark, base, "documents")).where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+def p9_changes(spark: SparkSession, base: str) -> DataFrame:
+    """Pages whose verdict differs from what their signals alone said: by the trees (labelled otherwise or not at all, and found spam) or by their host."""
+    s = score_pages(table(spark, base, "documents"))
+    by = F.when((F.col("score") > 0.5) != (F.col("page") > 0.5), "host").when((F.col("page") > 0.5) != (F.coalesce("weak", F.lit(0.0)) > 0.5), "trees")
+    return s.withColumn("by", by).where("by IS NOT NULL").select("doc_id", "by", "weak", "page", "score")
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_changes": p9_changes}
 
 _P1_SKETCH = """
 SELECT sig, sat,
