@@ -6,7 +6,6 @@ Arrow task in epoch order; groups are independent, so a receiver's arcs or days
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -100,70 +99,67 @@ def rts(minus: list, plus: list, trans: list) -> list[tuple[np.ndarray, np.ndarr
     return out[::-1]
 
 
-def ldl(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Q = L' D L with unit lower triangular L."""
-    n = len(q)
-    a, low, d = q.copy().astype(float), np.zeros_like(q, dtype=float), np.zeros(n)
-    for i in range(n - 1, -1, -1):
-        d[i] = a[i, i]
-        if d[i] <= 0:
-            raise np.linalg.LinAlgError("covariance is not positive definite")
-        low[i, : i + 1] = a[i, : i + 1] / np.sqrt(d[i])
-        for j in range(i):
-            a[j, : j + 1] -= low[i, : j + 1] * low[i, j]
-        low[i, : i + 1] /= low[i, i]
-    return low, d
+def reduce_lattice(basis: np.ndarray, delta: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
+    """(reduced basis, integer matrix u) with reduced = basis @ u: Lenstra-Lenstra-Lovasz reduction of a basis in columns, by its QR triangle."""
+    n = basis.shape[1]
+    b, u = basis.astype(float).copy(), np.eye(n, dtype=np.int64)
+    k = 1
+    while k < n:
+        r = np.linalg.qr(b[:, : k + 1], mode="r")
+        for j in range(k - 1, -1, -1):
+            m = round(r[j, k] / r[j, j])
+            if m:
+                b[:, k] -= m * b[:, j]
+                u[:, k] -= m * u[:, j]
+                r[:, k] -= m * r[:, j]
+        if r[k, k] ** 2 + r[k - 1, k] ** 2 >= delta * r[k - 1, k - 1] ** 2:
+            k += 1
+        else:
+            b[:, [k - 1, k]], u[:, [k - 1, k]] = b[:, [k, k - 1]], u[:, [k, k - 1]]
+            k = max(k - 1, 1)
+    return b, u
 
 
 def integer_least_squares(a: np.ndarray, q: np.ndarray, n_best: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The n_best integer vectors nearest to a in the metric of q, and their squared distances: decorrelation, then depth-first search."""
-    n = len(a)
-    z = np.eye(n)
-    qz = q.astype(float).copy()
-    for _ in range(100):
-        low, d = ldl(qz)
-        done = True
-        for j in range(n - 1):
-            for i in range(j + 1, n):
-                mu = round(low[i, j])
-                if mu:
-                    low[i:, j] -= mu * low[i:, i]
-                    z[:, j] -= mu * z[:, i]
-        qz = z.T @ q @ z
-        low, d = ldl(qz)
-        for j in range(n - 2, -1, -1):
-            if d[j] + low[j + 1, j] ** 2 * d[j + 1] < d[j + 1] * (1 - 1e-9):
-                z[:, [j, j + 1]] = z[:, [j + 1, j]]
-                qz = z.T @ q @ z
-                done = False
-                break
-        if done:
-            break
-    low, d = ldl(qz)
-    az = z.T @ a
-    best: list[tuple[float, np.ndarray]] = []
-    given = np.zeros(n)  # each component's estimate, given the integers chosen after it
+    """The n_best integer vectors nearest to a in the metric of q, and their squared distances.
 
-    def dive(k: int, fixed: np.ndarray, cost: float) -> None:
+    The distance of z is |W (a - z)| with W' W the inverse of q, so the columns of W span a lattice and W a is the point whose nearest
+    lattice points are wanted: the basis is reduced, and the points are enumerated over its triangle, nearest layers first.
+    """
+    n = len(a)
+    w = np.linalg.inv(np.linalg.cholesky(q.astype(float)))  # raises where q is not positive definite
+    basis, u = reduce_lattice(w)
+    qm, r = np.linalg.qr(basis)
+    shift = np.round(a)
+    target = qm.T @ (w @ (a - shift))
+    found: list[tuple[float, tuple[int, ...]]] = []
+
+    def layer(k: int, tail: tuple[int, ...], spent: float) -> None:
+        """Choose component k, given the later ones in ``tail``."""
         if k < 0:
-            best.append((cost, fixed.copy()))
-            best.sort(key=lambda t: t[0])
-            del best[n_best:]
+            found.append((spent, tail))
+            found.sort()
+            del found[n_best:]
             return
-        cond = given[k] = float(az[k] - low[k + 1 :, k] @ (given[k + 1 :] - fixed[k + 1 :]))
-        first = round(cond)
-        step = 1 if cond >= first else -1
-        for i in itertools.count():
-            c = first + (step if i % 2 else -step) * ((i + 1) // 2)
-            nxt = cost + (c - cond) ** 2 / d[k]
-            if len(best) >= n_best and nxt >= best[-1][0]:
-                return
-            fixed[k] = c
-            dive(k - 1, fixed, nxt)
-
-    dive(n - 1, np.zeros(n), 0.0)
-    back = np.linalg.inv(z).T
-    return np.array([np.round(back @ b) for _, b in best]), np.array([c for c, _ in best])
+        centre = (target[k] - r[k, k + 1 :] @ np.array(tail, dtype=float)) / r[k, k] if tail else target[k] / r[k, k]
+        for c in sorted(range(int(np.floor(centre)) - 1, int(np.ceil(centre)) + 2), key=lambda c: abs(c - centre)):
+            outward(k, c, tail, spent, centre)
+        down, up = int(np.floor(centre)) - 2, int(np.ceil(centre)) + 2
+        while outward(k, down, tail, spent, centre):
+            down -= 1
+        while outward(k, up, tail, spent, centre):
+            up += 1
+
+    def outward(k: int, c: int, tail: tuple[int, ...], spent: float, centre: float) -> bool:
+        """Follow one choice; False when it is already farther than the points held."""
+        cost = spent + (r[k, k] * (c - centre)) ** 2
+        if len(found) == n_best and cost >= found[-1][0]:
+            return False
+        layer(k - 1, (c, *tail), cost)
+        return True
+
+    layer(n - 1, (), 0.0)
+    return np.array([shift + u @ np.array(z) for _, z in found]), np.array([c for c, _ in found])
 
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float, rounds: int = 2) -> np.ndarray:
