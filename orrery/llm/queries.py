@@ -62,7 +62,17 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents with at least twelve consecutive words of an item's text."""
-    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_item")).select("item_id", "doc_id").distinct()
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_item")).where("exact").select("item_id", "doc_id").distinct()
+
+
+def p8_edited(spark: SparkSession, base: str) -> DataFrame:
+    """Documents holding an item whole, found from the item with its middle word replaced, doubled or dropped: only fingerprints within the radius can."""
+    w = F.split("text", r"\s+")
+    mid = F.floor(F.size("w") / 2).cast("int")
+    kind = F.pmod(F.col("item_id"), F.lit(3))
+    new = F.when(kind == 0, F.array(F.lit("instead"))).when(kind == 1, F.array(F.lit("besides"), F.get("w", mid))).otherwise(F.array().cast("array<string>"))
+    edited = table(spark, base, "eval_item").withColumn("w", w).select("item_id", F.array_join(F.concat(F.slice("w", 1, mid), new, F.slice("w", mid + 2, F.size("w"))), " ").alias("text"))
+    return find_leaks(table(spark, base, "documents"), edited, whole=True).select("item_id", "doc_id", F.round("similarity", 6).alias("similarity")).distinct()
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
@@ -77,7 +87,7 @@ def p9_changes(spark: SparkSession, base: str) -> DataFrame:
     return s.withColumn("by", by).where("by IS NOT NULL").select("doc_id", "by", "weak", "page", "score")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_changes": p9_changes}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch, "p1_sketch": p1_sketch, "p2_found": p2_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_changes": p9_changes}
 
 _P1_SKETCH = """
 SELECT sig, sat,
