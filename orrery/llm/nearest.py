@@ -4,7 +4,8 @@ Tick expansion: every right record is copied to each tick of the left side's coa
 nearest per (entity, tick) is kept by a map-side combined aggregate, and left records meet it by an equi-join on
 (entity, tick). No pair is formed that is not a result, and a hot entity is spread over its ticks.
 Left records off the clock's ticks go the exact way for them: both sides share time cells, and the neighbours
-before and after are found within a cell, whose rows are bounded by its length.
+before and after are found within a cell, whose rows are bounded by its length. A caller that has seen that no such record
+exists says so, and that way is not planned.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ def first_delivery(df: DataFrame, id_col: str, content: Sequence[str]) -> DataFr
     return df.groupBy(*content).agg(F.min(id_col).alias(id_col))
 
 
-def _best(right: DataFrame, keys: list[str], dt: Column) -> DataFrame:
-    """The nearest right record per key: the earlier if equally near, then the smaller id."""
-    return right.groupBy(*keys).agg(F.min(F.struct(F.abs(dt).alias("d"), F.col("_rt").alias("rt"), F.col("_rid").alias("rid"))).alias("best"))
+def _signed(code: Column) -> Column:
+    """Right minus left time of a code: twice the distance, plus one where the right record is the later."""
+    return F.when(F.pmod(code, F.lit(2)) == 1, F.floor(code / 2)).otherwise(-F.floor(code / 2))
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, entity: str, left_id: str, right_id: str, left_us: str, right_us: str, tolerance_s: float, tick_s: float = 60.0
+    left: DataFrame, right: DataFrame, entity: str, left_id: str, right_id: str, left_us: str, right_us: str, tolerance_s: float, tick_s: float = 60.0, on_ticks: bool = False
 ) -> DataFrame:
     """(left_id, right_id, dt_us): each left record with the nearest right record of its entity at most tolerance_s away.
 
     Times are long microseconds. The earlier right record wins a tie, then the smaller id. Left records without a partner, and
     rows with a null entity or time, are left out. Several left records may share a partner. Empty sides give no rows.
+    ``on_ticks`` says that every left time lies on a tick (the caller has looked), so the way for other times is not planned.
     """
     tol, tick = int(round(tolerance_s * 1e6)), int(round(tick_s * 1e6))
     l = left.where(F.col(entity).isNotNull() & F.col(left_us).isNotNull()).select(F.col(entity).alias("_e"), F.col(left_id).alias("_lid"), F.col(left_us).alias("_lt"))
@@ -39,9 +41,13 @@ def nearest(
     on = F.pmod(F.col("_lt"), F.lit(tick)) == 0
 
     ticks = r.withColumn("_k", F.explode(F.sequence(F.ceil((F.col("_rt") - tol) / tick), F.floor((F.col("_rt") + tol) / tick))))
-    kept = _best(ticks, ["_e", "_k"], F.col("_rt") - F.col("_k") * tick)
-    direct = l.where(on).withColumn("_k", F.floor(F.col("_lt") / tick)).join(kept, ["_e", "_k"])
-    out = direct.select(F.col("_lid").alias(left_id), F.col("best.rid").alias(right_id), (F.col("best.rt") - F.col("_lt")).alias("dt_us"))
+    dt = F.col("_rt") - F.col("_k") * tick
+    code = 2 * F.abs(dt) + (dt > 0).cast("long")
+    kept = ticks.groupBy("_e", "_k").agg(F.min(F.struct(code.alias("c"), F.col("_rid").alias("rid"))).alias("best"))
+    direct = (l if on_ticks else l.where(on)).withColumn("_k", F.floor(F.col("_lt") / tick)).join(kept, ["_e", "_k"])
+    out = direct.select(F.col("_lid").alias(left_id), F.col("best.rid").alias(right_id), _signed(F.col("best.c")).alias("dt_us"))
+    if on_ticks:
+        return out
 
     off = l.where(~on)
     cell = max(4 * tol, tick)

@@ -14,9 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values smaller than this count as zero.
-TINY = 1e-12
-
 
 def gamma(accuracy: float) -> float:
     return (1 + accuracy) / (1 - accuracy)
@@ -28,15 +25,15 @@ def bucket(v: Column, accuracy: float) -> Column:
 
 
 def sketch(df: DataFrame, keys: Sequence[str], value: str, accuracy: float = 0.01) -> DataFrame:
-    """(keys..., sgn, bucket, n): counts per signed bucket; sgn 0 is zero.
+    """(keys..., sgn, bucket, n): counts per signed bucket; sgn 0 is exactly zero, any other value has a bucket.
 
     Nulls are not counted. NaN and infinities are counted apart with sgn null and bucket 0 (NaN), 1 (+inf) or -1 (-inf), so that
     merged sketches still tell them; they take no part in percentiles. Null keys are keys. An empty table gives an empty sketch.
     """
     v = F.col(value).cast("double")
     finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
-    sgn = F.when(finite, F.when(F.abs(v) < TINY, 0).when(v > 0, 1).otherwise(-1))
-    b = F.when(~finite, F.when(F.isnan(v), 0).when(v > 0, 1).otherwise(-1)).when(F.abs(v) < TINY, 0).otherwise(bucket(v, accuracy))
+    sgn = F.when(finite, F.when(v == 0, 0).when(v > 0, 1).otherwise(-1))
+    b = F.when(~finite, F.when(F.isnan(v), 0).when(v > 0, 1).otherwise(-1)).when(v == 0, 0).otherwise(bucket(v, accuracy))
     return df.where(v.isNotNull()).groupBy(*keys, sgn.alias("sgn"), b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

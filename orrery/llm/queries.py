@@ -45,7 +45,8 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     # of right rows at one time the smallest id is taken, so repeated deliveries need no pass of their own
     p = table(spark, base, "trop_pea").where("trop_value IS NOT NULL")
     right = p.select("site", "pea_id", F.coalesce(micros("datetime"), week_tow_us(F.col("gpswk"), F.col("seconds"))).alias("t"))
-    return nearest(left.withColumn("t", micros("datetime")), right, "site", "bern_id", "pea_id", "t", "t", 150.0).select("bern_id", "pea_id")
+    on = b.where(F.pmod(micros("datetime"), F.lit(60_000_000)) != 0).isEmpty()
+    return nearest(left.withColumn("t", micros("datetime")), right, "site", "bern_id", "pea_id", "t", "t", 150.0, on_ticks=on).select("bern_id", "pea_id")
 
 
 def p7_containers(spark: SparkSession, base: str) -> DataFrame:
@@ -91,8 +92,8 @@ QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch,
 
 _P1_SKETCH = """
 SELECT sig, sat,
-       CASE WHEN isnan(postfit) OR isinf(postfit) THEN NULL WHEN abs(postfit) < 1e-12 THEN 0 WHEN postfit > 0 THEN 1 ELSE -1 END AS sgn,
-       CASE WHEN isnan(postfit) THEN 0 WHEN isinf(postfit) THEN CASE WHEN postfit > 0 THEN 1 ELSE -1 END WHEN abs(postfit) < 1e-12 THEN 0
+       CASE WHEN isnan(postfit) OR isinf(postfit) THEN NULL WHEN postfit = 0 THEN 0 WHEN postfit > 0 THEN 1 ELSE -1 END AS sgn,
+       CASE WHEN isnan(postfit) THEN 0 WHEN isinf(postfit) THEN CASE WHEN postfit > 0 THEN 1 ELSE -1 END WHEN postfit = 0 THEN 0
             ELSE CAST(ceil(ln(abs(postfit)) / ln(1.01 / 0.99)) AS INTEGER) END AS bucket,
        count(*) AS n
 FROM residual WHERE postfit IS NOT NULL GROUP BY ALL

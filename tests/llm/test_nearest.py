@@ -6,8 +6,8 @@ L = "id long, e string, t long, k int"
 R = "rid long, e string, t long, best int"
 
 
-def pairs(spark, left, right, tol=150.0, tick=60.0):
-    out = nearest(spark.createDataFrame([(*x, 0) for x in left], L), spark.createDataFrame([(*x, 0) for x in right], R), "e", "id", "rid", "t", "t", tol, tick)
+def pairs(spark, left, right, tol=150.0, tick=60.0, **kw):
+    out = nearest(spark.createDataFrame([(*x, 0) for x in left], L), spark.createDataFrame([(*x, 0) for x in right], R), "e", "id", "rid", "t", "t", tol, tick, **kw)
     return sorted((r.id, r.rid) for r in out.collect())
 
 
@@ -28,6 +28,7 @@ def test_against_brute_force(spark):
     off = [(200 + i, rnd.choice("AB"), rnd.randrange(0, 7200) * s + 7) for i in range(100)]
     for left in (on, off, on + off):
         assert pairs(spark, left, right) == brute(left, right, 150)
+    assert pairs(spark, on, right, on_ticks=True) == brute(on, right, 150)
 
 
 def test_ties_bounds_repeats_and_nulls(spark):

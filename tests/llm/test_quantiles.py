@@ -31,7 +31,7 @@ def test_error_bound_and_merge(spark):
 def test_odd_values(spark):
     df = spark.createDataFrame([(None, None), (None, 1.0), (None, math.nan), (None, math.inf), ("z", -math.inf), ("z", 1e-300), ("z", 1e300)], "k string, x double")
     s = {(r.k, r.sgn, r.bucket) for r in Q.sketch(df, ["k"], "x").collect()}
-    assert (None, None, 0) in s and (None, None, 1) in s and ("z", None, -1) in s and ("z", 0, 0) in s
+    assert (None, None, 0) in s and (None, None, 1) in s and ("z", None, -1) in s and ("z", 1, -34537) in s
     p = {(r.k, r.p): r.estimate for r in Q.percentiles(Q.sketch(df, ["k"], "x"), ["k"], [0.0, 1.0]).collect()}
     assert abs(p[None, 0.0] - 1) < 0.01 and p["z", 0.0] == 0.0 and abs(p["z", 1.0] / 1e300 - 1) < 0.01
 
@@ -52,3 +52,10 @@ def test_the_whole_report_stands_first():
     from orrery.llm.queries import QUERIES
 
     assert next(q for q in QUERIES if q.startswith("p1_")) == "p1_percentiles"
+
+
+def test_tiny_values_keep_their_bound(spark):
+    rows = [("a", x) for x in (1e-300, -3e-200, 0.0, -0.0, 5e-14)]
+    got = {round(r.p, 2): r for r in Q.percentiles(Q.sketch(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), ["k"], (0.0, 0.5, 0.75, 1.0)).collect()}
+    for p, t in ((0.0, -3e-200), (0.5, 0.0), (0.75, 1e-300), (1.0, 5e-14)):
+        assert abs(got[p].estimate - t) <= 0.0101 * abs(t) and got[p].lower <= t * (1 - 1e-9 if t < 0 else 1) + abs(t) * 1e-9 and got[p].upper >= t - abs(t) * 1e-9
