@@ -20,6 +20,12 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return t.where("status = 'resolved'").select("rec_id", F.floor((F.col("gpst_us") + 500) / 1000).cast("long").alias("gpst_ms"))
 
 
+def p3_untold(spark: SparkSession, base: str) -> DataFrame:
+    """The same with every feed's clock hidden: all civil times on the offset history estimated from the ingestion times."""
+    t = normalise_times(table(spark, base, "epoch_stamp"), table(spark, base, "feed_clock").where("false"), table(spark, base, "leap_second"))
+    return t.where("status = 'resolved'").select("rec_id", F.floor((F.col("gpst_us") + 500) / 1000).cast("long").alias("gpst_ms"))
+
+
 def p3_offset_history(spark: SparkSession, base: str) -> DataFrame:
     """The offset history each feed's civil times fit best, told by the ingestion times alone."""
     read = readings(table(spark, base, "epoch_stamp"), "rec_id", "gpswk", "seconds", ["Time", "ReferenceTimeGPST"], "feed", "logged_at")
@@ -50,7 +56,7 @@ def p6_grid(spark: SparkSession, base: str) -> DataFrame:
     return g.select("site", "slot_s", "status", *[r6(c).alias(c) for c in ("dN", "dE", "dU")])
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_untold": p3_untold, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
 
 _FIELD = """
 SELECT res_id, recv, sat, sig, meas, datetime, {f} AS v FROM residual WHERE {f} IS NOT NULL"""

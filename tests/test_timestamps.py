@@ -60,8 +60,11 @@ def test_void(spark):
 
 
 def test_incomplete_weeks_and_nulls(spark):
-    data = [(1, "g", None, 5.0, None, None, LOG, ""), (2, "g", 2035, None, None, None, LOG, ""), (3, "g", 2035, float("nan"), None, None, LOG, ""), (4, "g", -1, 5.0, None, None, LOG, ""), (5, None, None, None, "2019-01-08 13:35:24", None, LOG, ""), (6, "g", 2035, 221724.41, None, None, None, "")]
+    data = [(1, "g", None, 250_000.0, None, None, LOG, ""), (2, "g", 2035, None, None, None, LOG, ""), (3, "g", 2035, float("nan"), None, None, LOG, ""), (4, "g", -1, 5.0, None, None, LOG, ""), (5, None, None, None, "2019-01-08 13:35:24", None, LOG, ""), (6, "g", 2035, 221724.41, None, None, None, "")]
     assert {s for s, _ in run(spark, data).values()} == {"void"}
+    # seconds alone: the one week that fits the ingestion, also past either end and in milliseconds
+    data = [(k, "g", None, x, None, None, LOG, "") for k, x in enumerate([221724.41, 826524.41, -383075.59, 221724410.0])]
+    assert set(run(spark, data).values()) == {("resolved", GPST)}
 
 
 def test_fold_and_gap(spark):
@@ -104,3 +107,28 @@ def test_no_shuffle_of_the_records(spark, base):
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert t.where(F.col("status") == "resolved").count() > 150
+
+
+def feed_of(zone_at, n=800):
+    """Records every second day, logged 20 s to 25 h later, on the civil time of zone_at(i)."""
+    data, want = [], {}
+    for i in range(n):
+        utc = datetime(2018, 1, 1, tzinfo=UTC) + timedelta(hours=9 * i, minutes=7 * i)
+        local = utc.astimezone(ZoneInfo(zone_at(i)))
+        data.append((i, "x", None, None, local.strftime("%Y-%m-%d %H:%M:%S"), None, utc.replace(tzinfo=None) + timedelta(seconds=[20, 90, 400, 90_000][i % 4]), ""))
+        want[i] = utc.replace(tzinfo=None) + timedelta(seconds=18)
+    return data, want
+
+
+def test_a_feed_that_moves(spark):
+    """Half the records from Tokyo, half from Denver: the history has both, and nearly every record its right instant."""
+    data, want = feed_of(lambda i: "Asia/Tokyo" if i < 400 else "America/Denver")
+    got = run(spark, data)
+    assert sum(got[i][1] == want[i] for i in want) >= 790
+
+
+def test_a_clock_told_wrongly_yields(spark):
+    """The clock told is Berlin, the records are of Yangon, which is no candidate by name: its fixed offset is found."""
+    data, want = feed_of(lambda i: "Asia/Yangon")
+    got = run(spark, data, [("x", "LOCAL", "Europe/Berlin")])
+    assert sum(got[i][1] == want[i] for i in want) == 800
