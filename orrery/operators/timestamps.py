@@ -223,7 +223,7 @@ def estimate_offset_history(
         delay[:, gpst] += fits[:, gpst] * 18 / 3600
         bad = np.where(known, all_[:, None] - fits, 0.0)
         cost = bad + np.where(known, 0.003 * delay, 0.0)
-        cost[0, gpst + 1 :] += 3
+        cost[0, gpst + 1 :] += 0.5
         t = pdf["told"].iloc[0]
         if t in names:
             cost[:, names.index(t)] -= trust * all_
