@@ -1,11 +1,11 @@
 """Quantities in different units to common ones.
 
-A reading's unit comes from the text beside its number, then from a unit column, then from what linked readings say.
-For the last, the same entities (site and hour) are linked across sources by an equi-join on
-pre-aggregated keys; each pair of sources gets a robust scale (median ratio) but no offset, the scales are
-propagated through the source graph from a source whose unit is known, and snapped to known conversions.
-A source is a label as written, or an unlabelled field together with the order of magnitude of its
-numbers, so units mixed without labels in one site still part into sources.
+A source is a label as written, or an unlabelled field together with the order of magnitude of its numbers, so units mixed without
+labels in one site still part into sources. The same entities (site and hour) are linked across sources by an equi-join on
+pre-aggregated keys. Each pair of linked sources gets a robust scale and offset: the median ratio where ratios agree, else the
+slope of the quartiles and the median of what it leaves. Scale and offset are carried through the source graph from a source in
+metres and snapped to known conversions; the graph decides. A label's meaning, read from a table, settles between conversions too close to tell,
+stands in for sources without links, and marks a conflict where the graph says otherwise; ranges only check.
 """
 
 from __future__ import annotations
@@ -31,16 +31,20 @@ NO_LABEL = ("", "-", "--", "---", "?", "n/a", "na", "nan", "none", "null", "unkn
 _NUMBER = r"^[\s ]*([+-]?\d{1,3}(?:[   ]\d{3})+|[+-]?\d+|[+-]?(?=\.\d))([.,]\d+)?([eE][+-]?\d+)?[\s ]*(.*?)[\s ]*$"
 
 
+def parted(text: Column) -> Column:
+    """[number, unit text] of a text that begins with a number (decimal comma, blanks between thousands, exponent), else null."""
+    one = F.split(F.when(text.rlike(_NUMBER), F.regexp_replace(text, _NUMBER, "$1;$2;$3;$4")), ";", 4)
+    return F.transform(F.array(one), lambda x: F.array(F.concat(F.translate(x[0], " \u00a0\u202f", ""), F.translate(x[1], ",", "."), x[2]), x[3]))[0]
+
+
 def number_of(text: Column) -> Column:
-    """The number a text begins with (decimal comma, blanks between thousands, exponent), null if none."""
-    head = F.regexp_replace(F.regexp_extract(text, _NUMBER, 1), r"[   ]", "")
-    tail = F.regexp_replace(F.regexp_extract(text, _NUMBER, 2), ",", ".")
-    return F.concat(head, tail, F.regexp_extract(text, _NUMBER, 3)).try_cast("double")
+    """The number a text begins with, null if none."""
+    return parted(text)[0].try_cast("double")
 
 
 def label_of(text: Column) -> Column:
     """The unit text beside the number, null if none."""
-    s = F.regexp_extract(text, _NUMBER, 4)
+    s = parted(text)[1]
     return F.when(s != "", s)
 
 
@@ -84,107 +88,162 @@ def magnitude(v: Column) -> Column:
     return F.floor(F.log10(F.abs(v))).cast("int")
 
 
-def scale_edges(left: DataFrame, right: DataFrame, power: int) -> DataFrame:
-    """(a, b, power, ratio, n) for each pair of linked sources: scale_b = scale_a ** power * ratio. No offset is estimated.
+def link_sources(left: DataFrame, right: DataFrame, keys: Sequence[str], agree: float = 0.02) -> DataFrame:
+    """(a, b, r, c, spread, n) for each pair of linked sources: a value of a is r times the value of b plus c.
 
-    left and right are (entity columns..., node, v); right should hold few rows an entity. Pairs meet by the entity key only.
+    left and right are (keys..., node, v); left should hold one row an entity and node. r is the median ratio, c zero, where half the
+    ratios lie within the share ``agree`` of it or the quartiles are too close to tell a slope; else r is the ratio of the quartile
+    distances and c the median of the rest. spread is the middle half of the ratios (log) or of the rest over the values.
     """
-    keys = [c for c in left.columns if c not in ("node", "v")]
     l, r = left.withColumnsRenamed({"node": "a", "v": "va"}), right.withColumnsRenamed({"node": "b", "v": "vb"})
     ok = (F.col("va") != 0) & (F.col("vb") != 0) & ((F.col("va") > 0) == (F.col("vb") > 0))
-    both = l.join(r, keys).where(ok).withColumn("_lr", F.log(F.pow("va", F.lit(power)) / F.col("vb")))
-    e = both.groupBy("a", "b").agg(F.percentile_approx("_lr", 0.5, 10_000).alias("_m"), F.count("*").alias("n"))
-    return e.select("a", "b", F.lit(power).alias("power"), F.exp("_m").alias("ratio"), "n")
-
-
-def propagate_scales(edges: DataFrame, roots: dict[str, float], rounds: int = 8) -> DataFrame:
-    """(node, scale, hops): scales reached from the roots along the heaviest edge of each round. The graph has a node per source."""
+    both = checkpointed(l.join(r, list(keys)).where(ok).select("a", "b", "va", "vb"))
+    q = [0.25, 0.5, 0.75]
+    e = both.groupBy("a", "b").agg(
+        F.percentile_approx(F.log(F.col("va") / F.col("vb")), q, 10_000).alias("q"), F.percentile_approx("va", q, 10_000).alias("qa"), F.percentile_approx("vb", q, 10_000).alias("qb"), F.count("*").alias("n")
+    )
+    wide = F.col("q")[2] - F.col("q")[0]
+    slope = (F.col("qa")[2] - F.col("qa")[0]) / F.nullif(F.col("qb")[2] - F.col("qb")[0], F.lit(0.0))
+    bent = (wide > 2 * agree) & (F.col("n") >= 20) & (slope > 0)
+    e = checkpointed(e.select("a", "b", "n", bent.alias("bent"), F.when(bent, slope).otherwise(F.exp(F.col("q")[1])).alias("r"), wide.alias("wide"), F.abs(F.col("qa")[1]).alias("size")))
+    rest = both.join(sized(e.where("bent").select("a", "b", "r")), ["a", "b"]).groupBy("a", "b").agg(F.percentile_approx(F.col("va") - F.col("r") * F.col("vb"), q, 10_000).alias("o"))
+    e = e.join(sized(rest), ["a", "b"], "left")
+    # a line that fits no better than the ratio is not taken
+    better = F.col("bent") & ((F.col("o")[2] - F.col("o")[0]) / F.col("size") < F.col("wide") / 4)
+    plain = F.when(F.col("bent") & ~better, F.lit(None)).otherwise(F.col("r"))
+    return e.select("a", "b", F.when(better, F.col("r")).otherwise(plain).alias("r"), F.when(better, F.col("o")[1]).otherwise(0.0).alias("c"), F.when(better, (F.col("o")[2] - F.col("o")[0]) / F.col("size")).otherwise(F.col("wide")).alias("spread"), "n").where("r IS NOT NULL")
+
+
+def link_scales(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(b, r, h, n): the median ratios of a quantity, and of its root, to each linked source's values. left holds one row an entity."""
+    both = left.withColumnsRenamed({"v": "va"}).drop("node").join(right.withColumnsRenamed({"node": "b", "v": "vb"}), list(keys)).where("va > 0 AND vb > 0")
+    e = both.groupBy("b").agg(F.percentile_approx(F.log(F.col("va") / F.col("vb")), 0.5, 10_000).alias("r"), F.percentile_approx(F.log(F.sqrt("va") / F.col("vb")), 0.5, 10_000).alias("h"), F.count("*").alias("n"))
+    return e.select("b", F.exp("r").alias("r"), F.exp("h").alias("h"), "n")
+
+
+def propagate_scales(edges: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """(node, scale, shift, hops): root units are scale times a node's value plus shift, along the heaviest edge of each round, until no round reaches a new node."""
     spark = edges.sparkSession
-    known = spark.createDataFrame([(k, float(v), 0) for k, v in roots.items()], "node string, scale double, hops int")
-    for hop in range(1, rounds + 1):
+    known = spark.createDataFrame([(k, 1.0, 0.0, 0) for k in roots], "node string, scale double, shift double, hops int")
+    hop, grew = 0, True
+    while grew:
+        hop += 1
         step = edges.join(known.withColumnRenamed("node", "a"), "a").join(known.select(F.col("node").alias("b")), "b", "left_anti")
-        best = step.groupBy("b").agg(F.max(F.struct("n", (F.pow("scale", F.col("power")) * F.col("ratio")).alias("s"))).alias("m"))
-        new = checkpointed(best.select(F.col("b").alias("node"), F.col("m.s").alias("scale"), F.lit(hop).alias("hops")))
-        if new.isEmpty():
-            break
-        known = checkpointed(known.unionByName(new))
+        best = step.groupBy("b").agg(F.max(F.struct("n", (F.col("scale") * F.col("r")).alias("s"), (F.col("scale") * F.col("c") + F.col("shift")).alias("o"))).alias("m"))
+        new = checkpointed(best.select(F.col("b").alias("node"), F.col("m.s").alias("scale"), F.col("m.o").alias("shift"), F.lit(hop).alias("hops")))
+        grew = not new.isEmpty()
+        known = checkpointed(known.unionByName(new)) if grew else known
     return known
 
 
-def snap(scale: Column, known: Sequence[float]) -> Column:
-    """The known conversion nearest on a log scale."""
+def snap(scale: Column, known: Sequence[float], within: float, told: Column | None = None) -> Column:
+    """The known conversion nearest on a log scale, null beyond ``within``; what is told stands where it lies as near as ``within`` itself."""
     best = F.array_min(F.array(*[F.struct(F.abs(F.log(scale / F.lit(k))).alias("d"), F.lit(k).alias("k")) for k in known]))
-    return F.when(scale > 0, best["k"])
+    near = F.when((scale > 0) & (best["d"] <= within), best["k"])
+    return near if told is None else F.when((scale > 0) & (F.abs(F.log(scale / told)) <= within), told).otherwise(near)
 
 
-def harmonise_delays(bern: DataFrame, pea: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_label(df: DataFrame, label: str, **columns) -> DataFrame:
+    """Add columns that depend on a label alone, computed once for each distinct label and joined back."""
+    each = df.select(F.col(label).alias("_by")).distinct().where("_by IS NOT NULL").select("_by", *[c(F.col("_by")).alias(n) for n, c in columns.items()])
+    return df.join(sized(each), F.col(label) == F.col("_by"), "left").drop("_by")
+
+
+def harmonise_delays(bern: DataFrame, pea: DataFrame, read_labels: bool = True) -> tuple[DataFrame, DataFrame]:
     """Delays and their uncertainties in metres and square metres.
 
     Gives (bern_id, field, raw, value_m, factor, how) for ZTD and std, and (pea_id, raw, value_m2, factor, power, how) for trop_var.
-    how: 'text' beside the number, 'unit' column, 'ztd' (a std follows its record's ZTD), 'graph' (linked sources),
-    'range' (the one of m, cm, mm or of m2, mm2 that a delay or variance can have). A text without a number, an unknown label and a number no
+    how: 'graph' (the label's, or the unlabelled magnitude's, scale and offset came from linked sources), 'label' (no links; the label's own meaning),
+    'conflict' (the graph contradicts the label's meaning; the meaning is kept), 'ztd' (a std follows its record's ZTD), 'range' (no links, no label: the one of m, cm,
+    mm or of m2, mm2 that a delay or variance can have). With read_labels off, labels only tell sources apart and the graph alone gives
+    their units. A text without a number, a label neither linked nor known and a number no
     unit makes plausible give null values. Zero and negative numbers keep their unit. Repeated rows count each; extra columns are not
     read; null sites link to nothing; empty tables give empty results.
     """
     hour = 3_600_000_000
-    b = bern.select("bern_id", "site", F.floor(micros("datetime") / hour).alias("_h"), F.col("ZTD").alias("_zt"), F.col("std").alias("_st"), F.col("unit").alias("_u"))
-    b = b.select(
-        "*", number_of(F.col("_zt")).alias("_z"), clean_label(label_of(F.col("_zt"))).alias("_zl"),
-        number_of(F.col("_st")).alias("_s"), clean_label(label_of(F.col("_st"))).alias("_sl"), clean_label(F.col("_u")).alias("_ul"),
-    )
-    b = b.withColumn("_label", F.coalesce("_zl", "_ul")).withColumns({f"{c}f": length_factor(F.col(c)) for c in ("_zl", "_sl", "_ul")})
+    none = F.lit(None).cast("double")
+    b = bern.select("bern_id", "site", F.floor(micros("datetime") / hour).alias("_h"), parted(F.col("ZTD")).alias("_zt"), parted(F.col("std")).alias("_st"), F.col("unit").alias("_u"))
+    b = b.select("bern_id", "site", "_h", F.col("_zt")[0].try_cast("double").alias("_z"), F.col("_zt")[1].alias("_zr"), F.col("_st")[0].try_cast("double").alias("_s"), F.col("_st")[1].alias("_sr"), "_u")
+    b = b.withColumns({out: clean_label(F.col(raw)) for raw, out in (("_zr", "_zl"), ("_sr", "_sl"), ("_u", "_ul"))})
+    b = b.withColumn("_label", F.coalesce("_zl", "_ul")).withColumn("_slabel", F.coalesce("_sl", "_ul"))
     b = b.withColumn("_node", F.when(F.col("_label").isNotNull(), F.concat(F.lit("ztd|"), "_label")).otherwise(F.concat(F.lit("ztd|none|"), magnitude(F.col("_z")))))
     us = F.coalesce(micros("datetime"), (F.lit(315_964_800) + F.col("gpswk").cast("long") * 604_800) * 1_000_000 + F.round(F.col("seconds") * 1e6).cast("long"))
-    p = pea.select("pea_id", "site", F.floor(us / hour).alias("_h"), F.col("trop_value").alias("_tv"), F.col("trop_var").alias("_v"), clean_label(F.col("var_unit")).alias("_label"))
-    told, square = variance_form(F.col("_label"))
-    p = p.withColumns({"_told": told, "_power": F.when(F.col("_label").isNotNull(), square)})
+    p = pea.select("pea_id", "site", F.floor(us / hour).alias("_h"), F.col("trop_value").alias("_tv"), F.col("trop_var").alias("_v"), "var_unit")
+    p = by_label(p, "var_unit", _label=clean_label)
     p = p.withColumn("_node", F.when(F.col("_label").isNotNull(), F.concat(F.lit("var|"), "_label")).otherwise(F.concat(F.lit("var|none|"), magnitude(F.col("_v")))))
 
-    ref = p.where("_tv IS NOT NULL AND NOT isnan(_tv)").groupBy("site", "_h").agg(F.avg("_tv").alias("v")).withColumn("node", F.lit("trop_value"))
+    # delays: every source against trop_value at the same site and hour
     delay = b.where("_z IS NOT NULL AND _node IS NOT NULL").select("site", "_h", F.col("_node").alias("node"), F.col("_z").alias("v"))
-    spread = b.where("_sl IS NULL AND _s > 0 AND _node IS NOT NULL AND NOT (_zl IS NOT NULL AND _ul IS NOT NULL)")
-    spread = spread.select("site", "_h", F.col("_node").alias("node"), F.col("_s").alias("v"))
-    var = p.where("_v > 0 AND _node IS NOT NULL").groupBy("site", "_h", F.col("_node").alias("node")).agg(F.avg("_v").alias("v"))
-    edges = checkpointed(scale_edges(ref, delay, 1).unionByName(scale_edges(spread, var, 2)))
-    scales = propagate_scales(edges, {"trop_value": 1.0}).select(F.col("node").alias("_node"), F.col("scale").alias("_scale"))
-
-    # snapped per source, not per reading
-    lengths, areas = sorted({*METRES.values(), 1e-4}), [1.0, 1e-4, 1e-6]
-    b = b.join(sized(checkpointed(scales.select("_node", snap(F.col("_scale"), lengths).alias("_linked")))), "_node", "left")
-    p = p.join(sized(checkpointed(scales.select("_node", snap(F.col("_scale"), areas).alias("_linked")))), "_node", "left")
+    hours = checkpointed(p.groupBy("site", "_h", "_node").agg(F.avg(F.when(~F.isnan("_tv"), F.col("_tv"))).alias("tv"), F.exp(F.avg(F.when(F.col("_v") > 0, F.log("_v")))).alias("v"), F.count(F.when(F.col("_v") > 0, 1)).alias("n"), F.count(F.when(~F.isnan("_tv"), 1)).alias("m")))
+    ref = hours.where("m > 0").groupBy("site", "_h").agg((F.sum(F.col("tv") * F.col("m")) / F.sum("m")).alias("v")).withColumn("node", F.lit("trop_value"))
+    lengths = sorted({*METRES.values(), 1e-4})
+    meaning = (lambda c: length_factor(c)) if read_labels else (lambda c: F.lit(None).cast("double"))
+    ztd = propagate_scales(link_sources(ref, delay, ["site", "_h"]), ["trop_value"]).where("hops > 0")
+    told = F.when(~F.col("node").startswith("ztd|none|"), meaning(F.substring("node", 5, 1000)))
+    ztd = checkpointed(ztd.select(F.col("node").alias("_node"), snap(F.col("scale"), lengths, 0.01, told).alias("_f"), F.col("shift").alias("_o"), told.alias("_t")))
+    bad = F.col("_t").isNotNull() & (F.coalesce(F.col("_f"), F.lit(0.0)) != F.col("_t"))
+    labels = ztd.where("NOT _node LIKE 'ztd|none|%'").select(F.substring("_node", 5, 1000).alias("_l"), F.when(bad, F.col("_t")).otherwise(F.col("_f")).alias("_lf"), F.when(bad, 0.0).otherwise(F.col("_o")).alias("_lo"), F.when(bad, "conflict").otherwise("graph").alias("_lh")).where("_lf IS NOT NULL")
+
+    def labelled(df: DataFrame, label: str, tag: str) -> DataFrame:
+        """Factor, offset and origin of a length label: the graph's, else its own meaning."""
+        df = df.join(sized(labels.withColumnsRenamed({"_l": f"{tag}k", "_lf": f"{tag}g", "_lo": f"{tag}o", "_lh": f"{tag}h"})), F.col(label) == F.col(f"{tag}k"), "left").drop(f"{tag}k")
+        df = df.withColumn(f"{tag}m", meaning(F.col(label)))
+        return df.withColumns({f"{tag}f": F.coalesce(f"{tag}g", f"{tag}m"), f"{tag}h": F.when(F.col(f"{tag}g").isNotNull(), F.col(f"{tag}h")).when(F.col(f"{tag}m").isNotNull(), "label")}).drop(f"{tag}g", f"{tag}m")
+
+    b = labelled(labelled(b, "_label", "_z1"), "_slabel", "_s1")
+    b = b.join(sized(ztd.where("_node LIKE 'ztd|none|%'").select("_node", F.col("_f").alias("_n"))), "_node", "left")
     z = F.col("_z")
 
     def plausible(f: Column) -> Column:
         return (z * f).between(1.2, 3.2)
 
-    told = F.when(F.col("_zl").isNotNull(), F.col("_zlf")).otherwise(F.col("_ulf"))
-    linked = F.col("_linked")
-    ranged = F.when(plausible(F.lit(1.0)), 1.0).when(plausible(F.lit(0.01)), 0.01).when(plausible(F.lit(0.001)), 0.001)
     free = F.col("_label").isNull()
-    metric = linked.isin(1.0, 0.01, 0.001) & plausible(linked)
-    guess = F.when(free, F.when(metric, linked).otherwise(ranged)).otherwise(F.when(plausible(linked), linked))
-    b = b.withColumn("_zf", F.coalesce(told, guess)).withColumn(
-        "_zh", F.when(told.isNotNull(), F.when(F.col("_zl").isNotNull(), "text").otherwise("unit")).when((free & metric) | (~free & plausible(linked)), "graph").when(ranged.isNotNull() & free, "range")
-    )
-    sf = F.when(F.col("_sl").isNotNull(), F.col("_slf")).when(F.col("_ul").isNotNull(), F.col("_ulf")).otherwise(F.col("_zf"))
-    sf = F.coalesce(sf, F.when(F.col("_sl").isNull() & F.col("_zl").isNull(), F.col("_zf")))
-    sh = F.when(F.col("_sl").isNotNull(), "text").when(F.col("_ul").isNotNull(), "unit").when(F.col("_zf").isNotNull(), "ztd")
+    linked = F.col("_n").isin(1.0, 0.01, 0.001) & plausible(F.col("_n"))
+    ranged = F.when(plausible(F.lit(1.0)), 1.0).when(plausible(F.lit(0.01)), 0.01).when(plausible(F.lit(0.001)), 0.001)
+    b = b.withColumn("_zf", F.when(free, F.when(linked, F.col("_n")).otherwise(ranged)).otherwise(F.col("_z1f"))).withColumn("_zo", F.when(free, 0.0).otherwise(F.coalesce("_z1o", F.lit(0.0))))
+    b = b.withColumn("_zh", F.when(free, F.when(linked, "graph").when(ranged.isNotNull(), "range")).otherwise(F.col("_z1h")))
+    follow = F.col("_slabel").isNull() & (F.col("_zl").isNull() | F.col("_ul").isNull())
+    sf = F.when(F.col("_slabel").isNotNull(), F.col("_s1f")).when(follow, F.col("_zf"))
+    b = b.withColumns({"_sf": sf, "_sh": F.when(F.col("_slabel").isNotNull(), F.col("_s1h")).when(sf.isNotNull(), "ztd")})
     lengths_out = b.select(
         "bern_id",
         F.explode(F.array(
-            F.struct(F.lit("ZTD").alias("field"), z.alias("raw"), (z * F.col("_zf")).alias("value_m"), F.col("_zf").alias("factor"), F.col("_zh").alias("how")),
-            F.struct(F.lit("std").alias("field"), F.col("_s").alias("raw"), (F.col("_s") * sf).alias("value_m"), sf.alias("factor"), sh.alias("how")),
+            F.struct(F.lit("ZTD").alias("field"), z.alias("raw"), (z * F.col("_zf") + F.col("_zo")).alias("value_m"), F.col("_zf").alias("factor"), F.col("_zh").alias("how")),
+            F.struct(F.lit("std").alias("field"), F.col("_s").alias("raw"), (F.col("_s") * F.col("_sf")).alias("value_m"), F.col("_sf").alias("factor"), F.col("_sh").alias("how")),
         )).alias("r"),
     ).select("bern_id", "r.*")
 
+    # variances: unlabelled ones, of m2 or mm2, against the squared deviations of the delays; labelled ones against those
+    spread = b.where("_s > 0 AND _sf IS NOT NULL").groupBy("site", "_h").agg(F.avg(F.pow(F.col("_s") * F.col("_sf"), F.lit(2.0))).alias("v")).withColumn("node", F.lit("std"))
+    one = hours.where("v IS NOT NULL AND _node LIKE 'var|none|%'").select("site", "_h", F.col("_node").alias("node"), "v")
+    unit = link_scales(spread, one, ["site", "_h"])
+    unit = checkpointed(unit.select(F.col("b").alias("_node"), snap(F.col("r"), [1.0, 1e-6], 5.0).alias("_n")))
+    ranged_v = F.when(F.sqrt("v") < 0.05, 1.0).when(F.sqrt("v") < 50, 1e-6)
+    base = hours.where("v IS NOT NULL AND _node LIKE 'var|none|%'").join(sized(unit), "_node", "left").withColumn("_k", F.coalesce("_n", ranged_v)).where("_k IS NOT NULL")
+    base = base.groupBy("site", "_h").agg(F.exp(F.sum(F.log(F.col("v") * F.col("_k")) * F.col("n")) / F.sum("n")).alias("v")).withColumn("node", F.lit("var"))
+    tagged = hours.where("v IS NOT NULL AND NOT _node LIKE 'var|none|%'").select("site", "_h", F.col("_node").alias("node"), "v")
+    fit = link_scales(base, tagged, ["site", "_h"])
+    # of the known conversions of a variance and of a deviation, the nearest; a deviation is off by half the logarithm of its square
+    forms = [F.struct(F.abs(F.log(F.col("r" if q == 1 else "h") / F.lit(k))).alias("d"), F.lit(q).alias("p"), F.lit(k).alias("k")) for q, ks in ((1, (1.0, 1e-4, 1e-6)), (2, (1.0, 0.01, 0.001))) for k in ks]
+    forms = F.transform(F.array(*forms), lambda x: F.struct((x["d"] * x["p"]).alias("d"), x["p"].alias("p"), x["k"].alias("k")))
+    fit = fit.select("b", F.array_min(forms).alias("m"))
+    label_v = F.substring("b", 5, 1000)
+    tf, tp = variance_form(label_v) if read_labels else (none, F.lit(None).cast("int"))
+    fit = fit.select("b", F.col("m.k").alias("_gf"), F.col("m.p").alias("_gp"), F.col("m.d").alias("_gd"), tf.alias("_tf"), tp.alias("_tp"))
+    # over 0.8 (a factor of 2.2) from every known form, the links say nothing
+    far = F.col("_gd") >= 0.8
+    clash = F.col("_tf").isNotNull() & ((F.col("_tf") != F.col("_gf")) | (F.col("_tp") != F.col("_gp")))
+    fit = fit.select(F.col("b").alias("_node"), F.when(clash | far, F.col("_tf")).otherwise(F.col("_gf")).alias("_lf"), F.when(clash | far, F.col("_tp")).otherwise(F.col("_gp")).alias("_lp"), F.when(far, "label").when(clash, "conflict").otherwise("graph").alias("_lh"))
+    fit = checkpointed(fit.where("_lf IS NOT NULL"))
+    p = p.join(sized(unit), "_node", "left").join(sized(fit), "_node", "left")
+    p = by_label(p, "_label", _mf=lambda c: variance_form(c)[0], _mp=lambda c: variance_form(c)[1]) if read_labels else p.withColumns({"_mf": none, "_mp": F.lit(None).cast("int")})
     v = F.col("_v")
-    power, told_v, linked_v = F.col("_power"), F.col("_told"), F.col("_linked")
-    small = F.sqrt(v * linked_v) < 0.05
-    ranged_v = F.when(F.sqrt(v) < 0.05, 1.0).when(F.sqrt(v) < 50, 1e-6)
-    ok = linked_v.isin(1.0, 1e-6) & small
-    vf = F.when(F.col("_label").isNull(), F.when(ok, linked_v).otherwise(ranged_v)).otherwise(told_v)
-    vp = F.when(F.col("_label").isNull() | told_v.isNull(), 1).otherwise(power)
-    how = F.when(F.col("_label").isNotNull(), "unit").when(ok, "graph").when(ranged_v.isNotNull(), "range")
+    free_v = F.col("_label").isNull()
+    ok = F.col("_n").isNotNull() & (F.sqrt(v * F.col("_n")) < 0.05)
+    range_v = F.when(F.sqrt(v) < 0.05, 1.0).when(F.sqrt(v) < 50, 1e-6)
+    vf = F.when(free_v, F.when(ok, F.col("_n")).otherwise(range_v)).otherwise(F.coalesce("_lf", "_mf"))
+    vp = F.when(free_v, 1).otherwise(F.coalesce("_lp", "_mp", F.lit(1)))
+    how = F.when(free_v, F.when(ok, "graph").when(range_v.isNotNull(), "range")).otherwise(F.coalesce("_lh", F.when(F.col("_mf").isNotNull(), "label")))
     variances = p.select("pea_id", v.alias("raw"), vf.alias("factor"), vp.alias("power"), how.alias("how"))
-    root = F.col("raw") * F.col("factor")
-    return lengths_out, variances.select("pea_id", "raw", F.when(F.col("power") == 1, root).otherwise(root * root).alias("value_m2"), "factor", "power", "how")
+    root_v = F.col("raw") * F.col("factor")
+    return lengths_out, variances.select("pea_id", "raw", F.when(F.col("power") == 1, root_v).otherwise(root_v * root_v).alias("value_m2"), "factor", "power", "how")

@@ -32,14 +32,23 @@ def p3_offset_history(spark: SparkSession, base: str) -> DataFrame:
     return estimate_offset_history(read, leap_rows(table(spark, base, "leap_second")))
 
 
-def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    """Readings not recorded in metres or square metres, converted, in 0.1 mm or 0.01 mm2."""
-    lengths, variances = harmonise_delays(table(spark, base, "trop_bern"), table(spark, base, "trop_pea"))
+def _amounts(lengths: DataFrame, variances: DataFrame) -> DataFrame:
+    """Readings not recorded in metres or square metres, in 0.1 mm or 0.01 mm2."""
     a = lengths.where("value_m IS NOT NULL AND NOT isnan(value_m) AND factor <> 1.0").select("field", F.col("bern_id").alias("row_id"), F.floor(F.col("value_m") * 1e4 + 0.5).cast("long").alias("amount"))
     v = variances.where("value_m2 IS NOT NULL AND NOT isnan(value_m2) AND NOT (factor = 1.0 AND power = 1)")
     return a.unionByName(v.select(F.lit("trop_var").alias("field"), F.col("pea_id").alias("row_id"), F.floor(F.col("value_m2") * 1e8 + 0.5).cast("long").alias("amount")))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Readings not recorded in metres or square metres, converted, in 0.1 mm or 0.01 mm2."""
+    return _amounts(*harmonise_delays(table(spark, base, "trop_bern"), table(spark, base, "trop_pea")))
+
+
+def p4_unread(spark: SparkSession, base: str) -> DataFrame:
+    """The same with the labels unread: they only tell sources apart, and all units come from the links."""
+    return _amounts(*harmonise_delays(table(spark, base, "trop_bern"), table(spark, base, "trop_pea"), read_labels=False))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Rows whose prefit or postfit is not finite, a spike or held."""
     return flag_spikes(table(spark, base, "residual")).select("res_id").distinct()
@@ -56,7 +65,7 @@ def p6_grid(spark: SparkSession, base: str) -> DataFrame:
     return g.select("site", "slot_s", "status", *[r6(c).alias(c) for c in ("dN", "dE", "dU")])
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_untold": p3_untold, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+QUERIES = {"p4_found": p4_found, "p4_unread": p4_unread, "p3_found": p3_found, "p3_untold": p3_untold, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
 
 _FIELD = """
 SELECT res_id, recv, sat, sig, meas, datetime, {f} AS v FROM residual WHERE {f} IS NOT NULL"""

@@ -56,7 +56,7 @@ def test_records(spark):
     assert [b[i, "ZTD"].value_m for i in (1, 2, 3, 4)] == pytest.approx([2.4] * 4) and b[5, "ZTD"].value_m == pytest.approx(2.4, abs=1e-6)
     assert [b[i, "std"].value_m for i in (1, 2, 3, 4)] == pytest.approx([0.002] * 4) and b[5, "std"].value_m == pytest.approx(0.002, abs=1e-5)
     assert b[6, "std"].value_m is None and b[7, "std"].value_m == pytest.approx(0.002) and b[8, "ZTD"].value_m == pytest.approx(2.4)
-    assert b[9, "ZTD"].value_m is None and b[5, "std"].how == "ztd" and b[4, "std"].how == "unit"
+    assert b[9, "ZTD"].value_m is None and b[5, "std"].how == "ztd" and b[4, "std"].how in ("label", "graph")
     assert v[1].value_m2 == pytest.approx(4e-6) and v[2].value_m2 == pytest.approx(4e-6) and v[3].value_m2 == pytest.approx(4e-6) and v[4].value_m2 is None
 
 
@@ -68,3 +68,34 @@ def test_unknown_label_by_linked_sources(spark):
 
 def test_empty(spark):
     assert both(spark, [], []) == ({}, {})
+
+
+def linked(spark, readings, **kw):
+    """Sites of different heights, one reading an hour; readings(k, true metres) gives the text and the unit column."""
+    rows, pea = [], []
+    for k in range(60):
+        t, v = T.replace(day=1 + k // 20, hour=k % 20), 1.9 + 0.6 * (k % 13) / 13
+        rows.append((k, f"S{k % 13}", t, *readings(k, v), T, ""))
+        pea.append((k, f"S{k % 13}", None, None, t, v, 4e-6, None, ""))
+    a, _ = harmonise_delays(spark.createDataFrame([(i, s, t, z, None, u, lg, x) for i, s, t, z, u, lg, x in rows], BERN), spark.createDataFrame(pea, PEA), **kw)
+    want = {r[0]: p[5] for r, p in zip(rows, pea, strict=True)}
+    return {r.bern_id: r for r in a.where("field = 'ZTD'").collect()}, want
+
+
+def test_links_give_units_labels_do_not_tell(spark):
+    """Opaque labels of feet and nanoseconds, 1.7 % apart; the range allows either."""
+    got, want = linked(spark, lambda k, v: (f"{v / (0.3048 if k % 2 else 0.299792458):.6f}", "foo" if k % 2 else "bar"))
+    assert all(got[k].value_m == pytest.approx(want[k], abs=1e-5) and got[k].how == "graph" for k in want)
+
+
+def test_a_source_with_an_offset(spark):
+    """A source that counts centimetres above 1.5 m: scale and offset are both found."""
+    got, want = linked(spark, lambda k, v: (f"{(v - 1.5) * 100:.4f}", "foo"))
+    assert all(got[k].value_m == pytest.approx(want[k], abs=1e-3) and got[k].factor == pytest.approx(0.01) for k in want)
+
+
+def test_a_label_that_lies_is_marked(spark):
+    got, want = linked(spark, lambda k, v: (f"{v * 100:.3f}", "mm"))
+    assert all(r.how == "conflict" for r in got.values())
+    got, want = linked(spark, lambda k, v: (f"{v * 100:.3f}", "mm"), read_labels=False)
+    assert all(got[k].value_m == pytest.approx(want[k], abs=1e-4) and got[k].how == "graph" for k in want)
