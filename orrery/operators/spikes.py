@@ -3,21 +3,21 @@
 Phase-space thresholding over one pass of shuffled rows. A series is cut into chunks of one
 day, so a task holds at most one day of one series however hot the series is:
 
-1. summary: each chunk emits a bounded set of weighted centroids of its values and the runs of
-   equal values touching its two ends;
-2. merge: the centroids of all chunks of a series give its median (off by at most one middle group)
-   and a first spread from the median deviation; the edge runs are joined across chunks, so a run over
-   midnight is counted whole;
+1. summary: robust ellipsoids over value, first and second differences despike each chunk, repeated until no
+   new point falls outside; the chunk emits count, mean and sum of squares of what is left, a bounded set of
+   weighted centroids of all its values and the runs of equal values touching its two ends;
+2. merge: the despiked moments of all chunks of a series give its first spread, the centroids its median, which
+   is off by less than a 32nd of a chunk's values in rank (the size of a middle group); the edge runs are joined
+   across chunks, so a run over midnight is counted whole;
 3. spread: count, sum and sum of squares over all rows within k spreads, combined map side, repeated
    for the series whose limit still passes a value, so that the spread is exact however many spikes
    a chunk holds;
-4. flag: the rows of a chunk meet the merged limits. Robust ellipsoids over value, first and second
-   differences screen the epochs, repeated until no new point falls outside; zero-difference runs and
-   bounds catch the other faults.
+4. flag: the rows of a chunk meet the merged limits. The ellipsoids screen the epochs again, now about the
+   series' median and spread; zero-difference runs and bounds catch the other faults.
 
 An ellipsoid's value axis is sqrt(2 ln n) usual spreads, under 5 for a day of one-second epochs, so
 everything beyond the final limit of ``k`` = 10 spreads is outside it and the exact check of that
-limit only drops points, it never misses others.
+limit only drops points, it never misses others. What it drops, jumps under that limit, is reported as 'phase' where asked for.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from orrery.session import checkpointed, micros, sized
 
 DAY_US = 86_400_000_000
 CENTROIDS = 64
+#: Chunks of fewer finite values have no ellipsoids of their own.
+LEAST = 16
 
 
 def _null_aware(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +63,9 @@ def phase_space(v: np.ndarray, med: float, su: float, rounds: int = 8) -> np.nda
         d2 = np.gradient(d1)
         s1, s2 = 1.4826 * float(np.median(np.abs(d1))), 1.4826 * float(np.median(np.abs(d2)))
         a, b, c = lam * su, lam * (s1 or su), lam * (s2 or su)
-        theta = np.arctan2(float(np.dot(u, d2)), float(np.dot(u, u)))
+        # the tilt is that of the values no axis excludes: a few jumps would turn it
+        calm = (np.abs(d1) <= b) & (np.abs(d2) <= c) & (np.abs(u) <= a)
+        theta = np.arctan2(float(np.dot(u[calm], d2[calm])), float(np.dot(u[calm], u[calm]))) if calm.any() else 0.0
         ct, st = np.cos(theta), np.sin(theta)
         den = ct**4 - st**4
         p, q = a * a, c * c
@@ -192,20 +196,28 @@ def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _field_summary(v: np.ndarray) -> dict:
     """Summary of one field of one chunk from its non-null epoch values in time order."""
-    cnt, mean, m2 = _centroids(v[np.isfinite(v)], CENTROIDS)
+    fin = v[np.isfinite(v)]
+    cnt, mean, m2 = _centroids(fin, CENTROIDS)
+    clean = {"dn": 0, "dm": 0.0, "dq": 0.0}
+    if len(fin) >= LEAST:
+        med = float(np.median(fin))
+        s = 1.4826 * float(np.median(np.abs(fin - med)))
+        left = fin[~phase_space(fin, med, s)] if s > 0 else fin[:0]
+        if len(left):
+            clean = {"dn": len(left), "dm": float(left.mean()), "dq": float(((left - left.mean()) ** 2).sum())}
     start, length = _runs(v)
     edge = {"n": len(v), "v0": None, "l0": 0, "v1": None, "l1": 0}
     if len(v):
         edge = {"n": len(v), "v0": float(v[0]), "l0": int(length[0]), "v1": float(v[-1]), "l1": int(length[-1])}
-    return edge | {"c": cnt.tolist(), "m": mean.tolist(), "q": m2.tolist()}
+    return edge | clean | {"c": cnt.tolist(), "m": mean.tolist(), "q": m2.tolist()}
 
 
-_EDGE = "n bigint, v0 double, l0 bigint, v1 double, l1 bigint, c array<double>, m array<double>, q array<double>"
+_EDGE = "n bigint, v0 double, l0 bigint, v1 double, l1 bigint, dn bigint, dm double, dq double, c array<double>, m array<double>, q array<double>"
 
 
 def _arrow_edge() -> pa.StructType:
     lst = pa.list_(pa.float64())
-    return pa.struct([("n", pa.int64()), ("v0", pa.float64()), ("l0", pa.int64()), ("v1", pa.float64()), ("l1", pa.int64()), ("c", lst), ("m", lst), ("q", lst)])
+    return pa.struct([("n", pa.int64()), ("v0", pa.float64()), ("l0", pa.int64()), ("v1", pa.float64()), ("l1", pa.int64()), ("dn", pa.int64()), ("dm", pa.float64()), ("dq", pa.float64()), ("c", lst), ("m", lst), ("q", lst)])
 
 
 def flag_spikes(
@@ -217,12 +229,14 @@ def flag_spikes(
     k: float = 10.0,
     held: int = 8,
     bounds: tuple[float, float] | None = None,
+    phase: bool = False,
 ) -> DataFrame:
     """One row (id, field, value, reason, median, spread) per faulty reading.
 
     reason: 'nonfinite', 'bound' (outside the given physical bounds), 'spike' (farther than k usual
     spreads from the series median, and outside the phase-space ellipsoids), 'held'
-    (part of ``held`` or more consecutive epochs of one value). The first that applies is given.
+    (part of ``held`` or more consecutive epochs of one value) and, with ``phase``, 'phase' (outside the ellipsoids but within
+    k spreads: a jump against its neighbours, with the epochs up to two away whose differences it spoils). The first that applies is given.
 
     Nulls are no readings and do not break a run; NaN and infinities do. Rows of one series at one time are
     one epoch (repeated deliveries); each of its rows is judged by its own value. A null key is a key. A row without
@@ -273,6 +287,11 @@ def flag_spikes(
             s = [x for x in t[f"_s{i}"].take(pa.array(order)).to_pylist()]
             cnt, mean, m2 = (np.concatenate([np.asarray(x[c], dtype=float) for x in s]) for c in "cmq")
             med, sp = first_limits(cnt, mean, m2) if len(cnt) else (np.nan, np.nan)
+            dn, dm, dq = (np.array([x[c] for x in s], dtype=float) for c in ("dn", "dm", "dq"))
+            if dn.sum() > 0.3 * cnt.sum():
+                mu = float((dn * dm).sum() / dn.sum())
+                clean = float(np.sqrt((dq + dn * (dm - mu) ** 2).sum() / dn.sum()))
+                sp = clean if clean > 0 else sp
             pre, post = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             for fwd in (True, False):
                 run, val = 0, None
@@ -320,15 +339,18 @@ def flag_spikes(
                     bound = ((v < bounds[0]) | (v > bounds[1])) & ~null if bounds else np.zeros(len(v), bool)
                     fin = live[np.isfinite(ev[live])]
                     screened = np.zeros(len(at), dtype=bool)
-                    if len(fin):
+                    # the ellipsoids are only asked where their answer counts
+                    far = np.abs(v - med) > k * sp
+                    if len(fin) and (phase or far.any()):
                         screened[fin] = phase_space(ev[fin], med, sp)
                     # a row that differs from the first delivery of its epoch has no place among the differences
-                    spike = (screened[epoch] | ~same) & (np.abs(v - med) > k * sp) & ~null & ~nonfin
-                hit = nonfin | bound | spike | (held_epoch[epoch] & same & ~null)
+                    spike = (screened[epoch] | ~same) & far & ~null & ~nonfin
+                stuck = held_epoch[epoch] & same & ~null
+                hit = nonfin | bound | spike | stuck | (screened[epoch] & same & ~null if phase else False)
                 w = np.flatnonzero(hit)
                 if len(w):
                     out["id"].append(t["_id"].combine_chunks().take(pa.array(w)))
-                    reason = np.where(nonfin[w], "nonfinite", np.where(bound[w], "bound", np.where(spike[w], "spike", "held")))
+                    reason = np.where(nonfin[w], "nonfinite", np.where(bound[w], "bound", np.where(spike[w], "spike", np.where(stuck[w], "held", "phase"))))
                     out["field"].append(pa.array([name] * len(w)))
                     out["value"].append(pa.array(v[w]))
                     out["reason"].append(pa.array(reason.tolist(), type=pa.string()))

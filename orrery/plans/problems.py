@@ -54,6 +54,11 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return flag_spikes(table(spark, base, "residual")).select("res_id").distinct()
 
 
+def p5_phase(spark: SparkSession, base: str) -> DataFrame:
+    """Jumps against their neighbours that stay under ten spreads: what the ellipsoids alone flag."""
+    return flag_spikes(table(spark, base, "residual"), phase=True).where("reason = 'phase'").select("res_id", "field", r6("value").alias("value"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Slots without a usable reading between a station's first and last."""
     return regular_grid(table(spark, base, "pos_solution")).where(F.col("status") != READ).select("site", "slot_s")
@@ -65,7 +70,7 @@ def p6_grid(spark: SparkSession, base: str) -> DataFrame:
     return g.select("site", "slot_s", "status", *[r6(c).alias(c) for c in ("dN", "dE", "dU")])
 
 
-QUERIES = {"p4_found": p4_found, "p4_unread": p4_unread, "p3_found": p3_found, "p3_untold": p3_untold, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+QUERIES = {"p4_found": p4_found, "p4_unread": p4_unread, "p3_found": p3_found, "p3_untold": p3_untold, "p3_offset_history": p3_offset_history, "p5_found": p5_found, "p5_phase": p5_phase, "p6_found": p6_found, "p6_grid": p6_grid}
 
 _FIELD = """
 SELECT res_id, recv, sat, sig, meas, datetime, {f} AS v FROM residual WHERE {f} IS NOT NULL"""

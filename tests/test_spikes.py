@@ -144,3 +144,25 @@ def test_spread_is_that_of_all_rows_within_the_limit(spark):
     v[100:2800:90] = [15.0] * 30
     r = flag_spikes(spark.createDataFrame(rows(v), SCHEMA)).where("field = 'prefit' AND reason = 'spike'").agg(F.count("*").alias("n"), F.max("series_spread").alias("s")).first()
     assert r.n == 30 and abs(r.s - np.std([x for x in v if x != 15.0])) < 1e-9
+
+
+def test_jumps_under_ten_spreads_are_phase_flags(spark):
+    """A slow wave with jumps of about four of its spreads: no spike by the limit, found by the differences; at least nine of ten, and little else than the epochs whose differences they spoil."""
+    rng = np.random.default_rng(6)
+    v = np.sin(np.arange(2000) / 300) + rng.normal(0, 0.02, 2000)
+    at = rng.choice(np.arange(20, 1980, 7), 40, replace=False)
+    v[at] += rng.choice([-3.0, 3.0], 40)
+    data = rows(v.tolist(), step=40)
+    got = {i - 1: r for (i, f), r in found(spark, data, fields=("prefit",), phase=True).items()}
+    hit = sum(got.get(int(a)) == "phase" for a in at)
+    assert hit >= 36 and set(got.values()) == {"phase"} and sum(min(abs(at - k)) > 2 for k in got) <= 20
+    assert found(spark, data, fields=("prefit",)) == {}
+
+
+def test_first_spread_is_of_the_despiked_series():
+    from orrery.operators.spikes import _field_summary
+
+    v = np.random.default_rng(3).normal(0, 1, 500)
+    v[::25] += 60
+    s = _field_summary(v)
+    assert s["dn"] >= 470 and abs(np.sqrt(s["dq"] / s["dn"]) - 1) < 0.1
