@@ -11,7 +11,7 @@ from orrery.functions import ids as I
 from orrery.functions import signals as P
 from orrery.operators import estimate as E
 from orrery.operators import stats as A
-from orrery.plans.util import RESIDUALS, finite_residuals, q6, r6, residuals, rounded
+from orrery.plans.util import RESIDUALS, q6, r6, residuals, rounded
 from orrery.session import micros, table
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _walks(spark, base):
-    r = finite_residuals(spark, base, "postfit").where("sigma > 0 AND NOT isnan(sigma)")
+    r = residuals(spark, base, "postfit").where("sigma > 0 AND NOT isnan(sigma)")
     r = r.withColumn("g", F.concat_ws("/", "recv", "sat", "sig", "meas", F.to_date("datetime"))).withColumn("t", micros("datetime") / 1e6).withColumn("v", F.col("sigma") * F.col("sigma"))
     return r.withColumn("s", F.lit("offset"))
 
@@ -98,7 +98,7 @@ def least_squares(spark, base):
 @query()
 def raim(spark, base):
     """Offset and rate of a receiver's phase residuals of one day hour, with greedy exclusion."""
-    r = finite_residuals(spark, base, "postfit").where("meas = 'PHAS_MEAS' AND sigma > 0 AND NOT isnan(sigma)")
+    r = residuals(spark, base, "postfit").where("meas = 'PHAS_MEAS' AND sigma > 0 AND NOT isnan(sigma)")
     r = r.withColumn("hour", F.floor(micros("datetime") / 900e6)).withColumn("one", F.lit(1.0)).withColumn("x", F.pmod(micros("datetime"), F.lit(900_000_000)) / 900e6)
     out = E.raim(r, ["recv", "sat", "sig", "hour"], "res_id", ["one", "x"], "postfit", "sigma")
     return rounded(out.select("res_id", "used", "chi2", "dof", "pass"), "chi2")
@@ -107,7 +107,7 @@ def raim(spark, base):
 @query()
 def ambiguity_fix(spark, base):
     """Integer candidates of the float vector a satellite's signals have at each receiver."""
-    m = finite_residuals(spark, base, "prefit").groupBy("recv", "sat", F.concat("sig", "meas").alias("i")).agg((F.avg("prefit") * 10).alias("a"))
+    m = residuals(spark, base, "prefit").groupBy("recv", "sat", F.concat("sig", "meas").alias("i")).agg((F.avg("prefit") * 10).alias("a"))
     q = m.join(m.select("recv", "sat", F.col("i").alias("j")), ["recv", "sat"]).withColumn("q", F.when(F.col("i") == F.col("j"), 0.04).otherwise(0.01))
     return rounded(E.fix_ambiguities(q, ["recv", "sat"], "i", "j", "a", "q"), "ratio")
 

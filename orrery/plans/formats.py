@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from orrery.functions import geo as G
-from orrery.plans.util import r6, residuals
+from orrery.plans.util import r6
 from orrery.session import micros, shared_dir, table
 from orrery.sources import binary as B
 from orrery.sources import files as X
@@ -29,13 +29,9 @@ def query(sql: str | None = None):
     return add
 
 
-_OK = "prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) <= 1000 AND postfit IS NOT NULL AND NOT isnan(postfit) AND abs(postfit) <= 1000 AND sigma IS NOT NULL AND label IS NOT NULL"
-
-
-@query(f"""SELECT iter, epoch_us(datetime) AS us, meas, sat, recv, sig, round(prefit, 6) + 0.0 AS prefit, round(postfit, 6) + 0.0 AS postfit, label FROM residual WHERE {_OK}""")
+@query("""SELECT iter, epoch_us(datetime) AS us, meas, sat, recv, sig, round(prefit, 6) + 0.0 AS prefit, round(postfit, 6) + 0.0 AS postfit, label FROM residual""")
 def trace_round_trip(spark, base):
-    r = residuals(spark, base).where("sigma IS NOT NULL AND label IS NOT NULL")
-    p = T.trace(W.trace_lines(r, F.lit("all")))
+    p = T.trace(W.trace_lines(table(spark, base, "residual"), F.lit("all")))
     return p.select("iter", micros("datetime").alias("us"), "meas", "sat", "recv", "sig", (F.round("prefit", 6) + 0.0).alias("prefit"), (F.round("postfit", 6) + 0.0).alias("postfit"), "label")
 
 

@@ -12,7 +12,7 @@ from orrery.operators import select as S
 from orrery.operators import series as W
 from orrery.operators import stats as A
 from orrery.operators import store as D
-from orrery.plans.util import RESIDUALS, finite_residuals, q6, r6, residuals, rounded
+from orrery.plans.util import RESIDUALS, q6, r6, residuals, rounded
 from orrery.streaming.epochs import classify, infer_interval, periodic_reset
 from orrery.session import micros, sized, table
 
@@ -201,9 +201,9 @@ def star_join(spark, base):
 # --- series
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY datetime, meas, sat, recv, sig ORDER BY iter DESC, res_id DESC) AS k FROM {RESIDUALS}) SELECT res_id, recv, sat, sig, iter, postfit FROM r WHERE k = 1""")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY datetime, meas, sat, recv, sig ORDER BY iter DESC, res_id DESC) AS k FROM residual) SELECT res_id, recv, sat, sig, iter, postfit FROM r WHERE k = 1""")
 def last_iteration(spark, base):
-    return W.last_iteration(residuals(spark, base), ["datetime", *SERIES], "iter", ["res_id"]).select("res_id", "recv", "sat", "sig", "iter", "postfit")
+    return W.last_iteration(table(spark, base, "residual"), ["datetime", *SERIES], "iter", ["res_id"]).select("res_id", "recv", "sat", "sig", "iter", "postfit")
 
 
 @query("""WITH e AS (SELECT event_id, value, last_value(nullif(value, 0) IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events)
@@ -377,21 +377,21 @@ def wls_normal_eq(spark, base):
     return rounded(A.wls_line(l, ["l_returnflag", "l_linestatus"], "l_quantity", "y", "s").select("l_returnflag", "l_linestatus", "n", "a", "b"), "a", "b")
 
 
-@query(f"""SELECT recv, sat, count(*) AS rows, CAST(count(*) - 3 AS INTEGER) AS dof, round(sum(postfit * postfit / (sigma * sigma)) + 1e-9, 3) AS chi2 FROM {RESIDUALS} WHERE sigma * sigma > 0 GROUP BY ALL""")
+@query(f"""SELECT recv, sat, count(*) AS rows, CAST(count(*) - 3 AS INTEGER) AS dof, {q6("sum(postfit * postfit / (sigma * sigma))")} AS chi2 FROM {RESIDUALS} WHERE sigma * sigma > 0 GROUP BY ALL""")
 def chi2_test(spark, base):
     r = residuals(spark, base).withColumn("v", F.col("sigma") * F.col("sigma"))
-    return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "rows", "dof", F.round(F.col("chi2") + 1e-9, 3).alias("chi2"))
+    return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "rows", "dof", r6("chi2").alias("chi2"))
 
 
 @query()
 def chi2_pass(spark, base):
-    r = finite_residuals(spark, base, "postfit").withColumn("v", F.col("sigma") * F.col("sigma"))
+    r = residuals(spark, base, "postfit").withColumn("v", F.col("sigma") * F.col("sigma"))
     return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "dof", r6("limit").alias("limit"), "pass")
 
 
-@query(f"""SELECT recv, count(DISTINCT datetime) AS epochs, count(*) AS observations, count(DISTINCT sat) AS satellites, min(datetime) AS first, max(datetime) AS last FROM {RESIDUALS} GROUP BY 1""")
+@query(f"""SELECT recv, count(DISTINCT datetime) AS epochs, count(*) AS observations, count(DISTINCT sat) AS satellites, min(datetime) AS first, max(datetime) AS last FROM residual GROUP BY 1""")
 def receiver_counters(spark, base):
-    return A.receiver_counters(residuals(spark, base), "recv", "datetime", "sat", "sig").drop("code_counts")
+    return A.receiver_counters(table(spark, base, "residual"), "recv", "datetime", "sat", "sig").drop("code_counts")
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view,
@@ -426,9 +426,9 @@ def exclusion_bits(spark, base):
     return e.select("event_id", S.exclusion_word(["a", "b", "c"]).alias("word"))
 
 
-@query(f"""SELECT recv, sat, count(*) AS n FROM {RESIDUALS} WHERE upper(sat) IN ('G05', 'E12', 'R07') AND regexp_matches(coalesce(label, ''), '^KF-[0-4]') AND datetime >= TIMESTAMP '2019-01-07' AND datetime < TIMESTAMP '2019-01-12' GROUP BY ALL""")
+@query(f"""SELECT recv, sat, count(*) AS n FROM residual WHERE upper(sat) IN ('G05', 'E12', 'R07') AND regexp_matches(coalesce(label, ''), '^KF-[0-4]') AND datetime >= TIMESTAMP '2019-01-07' AND datetime < TIMESTAMP '2019-01-12' GROUP BY ALL""")
 def attribute_filter(spark, base):
-    r = residuals(spark, base).where(S.in_ignore_case("sat", ["g05", "E12", "r07"]) & F.coalesce(F.col("label"), F.lit("")).rlike("^KF-[0-4]"))
+    r = table(spark, base, "residual").where(S.in_ignore_case("sat", ["g05", "E12", "r07"]) & F.coalesce(F.col("label"), F.lit("")).rlike("^KF-[0-4]"))
     r = r.withColumn("at", F.col("datetime").cast("timestamp")).where((F.col("at") >= F.to_timestamp(F.lit("2019-01-07"))) & (F.col("at") < F.to_timestamp(F.lit("2019-01-12"))))
     return r.groupBy("recv", "sat").agg(F.count("*").alias("n"))
 
@@ -530,10 +530,10 @@ def states_round_trip(spark, base):
     return D.reshape_states(docs, ["l_orderkey"], "l_linenumber", ["l_quantity", "l_tax"], [1, 2])
 
 
-@query(f"""WITH k AS (SELECT datetime, recv, sat, meas || '-' || sig AS c, max(prefit) AS p, max(postfit) AS q FROM {RESIDUALS} GROUP BY ALL), e AS (SELECT datetime, recv, sat, c || '-prefit' AS k, p AS v FROM k UNION ALL SELECT datetime, recv, sat, c || '-postfit', q FROM k)
+@query(f"""WITH k AS (SELECT datetime, recv, sat, meas || '-' || sig AS c, max(prefit) AS p, max(postfit) AS q FROM {RESIDUALS} WHERE isfinite(prefit) GROUP BY ALL), e AS (SELECT datetime, recv, sat, c || '-prefit' AS k, p AS v FROM k UNION ALL SELECT datetime, recv, sat, c || '-postfit', q FROM k)
 SELECT epoch_us(datetime) AS us, recv, sat, string_agg(k, ',' ORDER BY k) AS names, {q6("sum(v)")} AS total FROM e GROUP BY 1, 2, 3""")
 def measurement_documents(spark, base):
-    d = D.measurement_documents(residuals(spark, base), ["datetime", "recv", "sat"], "meas", "sig", ["prefit", "postfit"])
+    d = D.measurement_documents(residuals(spark, base).where("prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) < double('inf')"), ["datetime", "recv", "sat"], "meas", "sig", ["prefit", "postfit"])
     total = F.aggregate(F.map_values("document"), F.lit(0.0), lambda a, v: a + v)
     return d.select(micros("datetime").alias("us"), "recv", "sat", F.array_join(F.map_keys("document"), ",").alias("names"), r6(total).alias("total"))
 

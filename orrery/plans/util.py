@@ -9,28 +9,27 @@ from orrery.session import table
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals; the nudge keeps exact halves from falling either way in the two engines, the zero a negative zero."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6) + 0.0
+    """Six decimals, nine significant digits beyond 1000, where six decimals are more than a double holds in a sum.
+
+    The nudge keeps exact halves from falling either way in the two engines, the zero a negative zero.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 8)
+    return F.when(F.abs(c) >= 1000, F.round(c / p) * p).otherwise(F.round(c + 1e-9, 6) + 0.0)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in cols})
 
 
-def residuals(spark: SparkSession, base: str) -> DataFrame:
-    """Residual rows whose postfit and prefit are finite and under a kilometre."""
-    ok = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) <= 1000" for c in ("prefit", "postfit"))
-    return table(spark, base, "residual").where(ok)
-
-
-def finite_residuals(spark: SparkSession, base: str, column: str) -> DataFrame:
-    """Residual rows with a finite value in the one column that is read, whatever the other holds."""
+def residuals(spark: SparkSession, base: str, column: str = "postfit") -> DataFrame:
+    """Residual rows with a finite value in the one column that is read, however large, and whatever the others hold: a sum has no use for the rest."""
     return table(spark, base, "residual").where(f"{column} IS NOT NULL AND NOT isnan({column}) AND abs({column}) < double('inf')")
 
 
 #: The rows of residuals() in SQL, and rounding as by r6.
-RESIDUALS = "(SELECT * FROM residual WHERE prefit IS NOT NULL AND NOT isnan(prefit) AND abs(prefit) <= 1000 AND postfit IS NOT NULL AND NOT isnan(postfit) AND abs(postfit) <= 1000)"
+RESIDUALS = "(SELECT * FROM residual WHERE isfinite(postfit))"
 
 
 def q6(x: str) -> str:
-    return f"(round({x} + 1e-9, 6) + 0.0)"
+    return f"(CASE WHEN abs({x}) >= 1000 THEN round(({x}) / pow(10.0, floor(log10(abs({x}))) - 8)) * pow(10.0, floor(log10(abs({x}))) - 8) ELSE round({x} + 1e-9, 6) + 0.0 END)"
