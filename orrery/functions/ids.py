@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,14 +75,24 @@ def ura_metres(index: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in URA_METRES]), index.cast("int"))
 
 
+@lru_cache(maxsize=1)
+def _crc_steps() -> list[int]:
+    """What each leading byte adds to CRC-24Q (polynomial 0x1864CFB)."""
+    out = []
+    for b in range(256):
+        x = b << 16
+        for _ in range(8):
+            x = (x << 1) ^ (0x1864CFB if x & 0x800000 else 0)
+        out.append(x & 0xFFFFFF)
+    return out
+
+
 def crc24q_bytes(data: bytes) -> int:
-    """CRC-24Q (polynomial 0x1864CFB, no reflection, zero start)."""
-    crc = 0
+    """CRC-24Q (no reflection, zero start)."""
+    steps, crc = _crc_steps(), 0
     for b in data:
-        crc ^= b << 16
-        for _ in range(8):
-            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
-    return crc & 0xFFFFFF
+        crc = ((crc << 8) & 0xFFFFFF) ^ steps[crc >> 16 ^ b]
+    return crc
 
 
 @F.pandas_udf(IntegerType())

@@ -190,10 +190,10 @@ def match_three(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     return x.select(*on, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both").when(F.col("_a").isNotNull(), "left").otherwise("right").alias("side"))
 
 
-def chain_lookup(edges: DataFrame, src: str, dst: str, value: str, var: str, max_hops: int = 8, group: Sequence[str] = ()) -> DataFrame:
+def chain_lookup(edges: DataFrame, src: str, dst: str, value: str, var: str, max_hops: int | None = None, group: Sequence[str] = ()) -> DataFrame:
     """(group..., src, dst, value, var, hops, path): sums along code chains, an edge usable both ways (value negated backwards).
 
-    Per pair the chain of fewest hops stands, then the first path in code order. Frontiers grow by self-joins and stop when nothing new is reached.
+    Per pair the chain of fewest hops stands, then the first path in code order. Frontiers grow by self-joins and stop when nothing new is reached; ``max_hops`` is a rule where one is wanted.
     """
     g = list(group)
     one = edges.select(*g, F.col(src).alias("a"), F.col(dst).alias("b"), F.col(value).alias("v"), F.col(var).alias("r"))
@@ -206,7 +206,9 @@ def chain_lookup(edges: DataFrame, src: str, dst: str, value: str, var: str, max
     known = best(both.where("a <> b").select(*g, "a", "b", "v", "r", F.lit(1).alias("hops"), F.array("a", "b").alias("path")))
     front = known
     step = both.select(*g, F.col("a").alias("b"), F.col("b").alias("c"), F.col("v").alias("v2"), F.col("r").alias("r2"))
-    for _ in range(max_hops - 1):
+    hops = 1
+    while max_hops is None or hops < max_hops:
+        hops += 1
         grown = front.join(step, [*g, "b"]).where(~F.array_contains("path", F.col("c")))
         grown = best(grown.select(*g, "a", F.col("c").alias("b"), (F.col("v") + F.col("v2")).alias("v"), (F.col("r") + F.col("r2")).alias("r"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("c")).alias("path")))
         front = checkpointed(grown.join(known.select(*g, "a", "b"), [*g, "a", "b"], "left_anti"))

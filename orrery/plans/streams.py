@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.util import q6, rounded
@@ -51,10 +51,14 @@ def stream_epoch_sync(spark, base):
     e = _stream(spark, base, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     x = classify(e, "ts", 1800, 300).where("within")
     g = x.groupBy("user_id", (F.col("epoch_us") / 1_000_000).cast("long").alias("epoch_s")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    out = f"stream_epochs_{zlib.crc32(base.encode())}"
-    q = g.writeStream.format("memory").queryName(out).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{out}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    out = f"{shared_dir(spark)}/stream-epochs-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data")
+
+    q = g.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(spark.table(out), "mean")
+    return rounded(spark.read.parquet(f"{out}/data"), "mean")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM events),

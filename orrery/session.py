@@ -38,8 +38,10 @@ def micros(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a local one, but only for a session in one process."""
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not where:
         where = f"file://{tempfile.gettempdir()}/orrery-{os.getpid()}"
     if spark.sparkContext.getCheckpointDir() is None:

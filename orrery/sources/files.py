@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import fnmatch
 import io
+import itertools
 import os
 from collections.abc import Callable, Iterator
 
@@ -274,15 +275,13 @@ def detect(lines: list[str]) -> str | None:
     """The kind of a file by its first lines."""
     head = lines[0] if lines else ""
     if head[60:].strip() == "RINEX VERSION / TYPE":
-        return {"O": "rinex_obs", "N": "rinex_nav", "C": "rinex_clock"}.get(head[20:21])
+        return {"O": "rinex_obs", "N": "rinex_nav"}.get(head[20:21])
     if head[60:].strip() == "IONEX VERSION / TYPE":
         return "ionex"
     if head[60:].strip() == "ANTEX VERSION / SYST":
         return "antex"
     if head.startswith("%=ORBEX"):
         return "orbex"
-    if head.startswith("%=SNX"):
-        return "sinex"
     if head[:2] in ("#a", "#b", "#c", "#d"):
         return "sp3"
     if head[:2].upper() == "H1":
@@ -290,6 +289,23 @@ def detect(lines: list[str]) -> str | None:
     return "blq" if head.startswith("$$") else None
 
 
+def _lines(path: str) -> Iterator[str]:
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_stream(inner, compression="gzip" if inner.endswith(".gz") else None) as raw:
+        yield from (x.rstrip("\r\n") for x in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"))
+
+
+def kind_of(path: str) -> str:
+    """The kind of the first file of a path that tells one by its head; all files of one load are of one kind."""
+    for f in _expand(path):
+        kind = detect(list(itertools.islice(_lines(f), 1)))
+        if kind in KINDS:
+            return kind
+    raise ValueError(f"no file under {path} tells its kind; give the option kind")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -311,30 +327,25 @@ def _expand(path: str) -> list[str]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.kind = options["path"], options.get("kind", "auto")
+        self.path = options["path"]
+        self.kind = options.get("kind") or kind_of(self.path)
 
     def partitions(self) -> list[InputPartition]:
         return [_File(f) for f in _expand(self.path)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        where, inner = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        codec = "gzip" if inner.endswith(".gz") else None
-        with where.open_input_stream(inner, compression=codec) as raw:
-            lines = (x.rstrip("\r\n") for x in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"))
-            yield from KINDS[self.kind][0](lines, partition.path)
+        yield from KINDS[self.kind][0](_lines(partition.path), partition.path)
 
 
 class GnssSource(DataSource):
-    """The data source; option ``kind`` names the format, ``path`` a file, folder or glob."""
+    """The data source; option ``kind`` names the format, ``path`` a file, folder or glob. Without a kind the files' heads tell it."""
 
     @classmethod
     def name(cls) -> str:
         return "gnss"
 
     def schema(self) -> str:
-        return KINDS[self.options["kind"]][1]
+        return KINDS[self.options.get("kind") or kind_of(self.options["path"])][1]
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

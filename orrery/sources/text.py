@@ -151,10 +151,14 @@ def gravity_field(lines: DataFrame, degree_max: int | None = None) -> DataFrame:
 
 
 def igrf(lines: DataFrame) -> DataFrame:
-    """Geomagnetic coefficients unpivoted by epoch: g/h, n, m, epoch, value; the secular variation has epoch null."""
-    head = lines.where(F.col("value").rlike(r"^g/h\s")).select(F.split(F.trim("value"), r"\s+").alias("_h")).limit(1)
-    rows = lines.where(F.col("value").rlike(r"^[gh]\s")).select(F.split(F.trim("value"), r"\s+").alias("_p"))
-    z = rows.crossJoin(F.broadcast(head)).select(F.col("_p")[0].alias("kind"), F.col("_p")[1].cast("int").alias("n"), F.col("_p")[2].cast("int").alias("m"), F.explode(F.arrays_zip(F.slice("_h", 4, 1000).alias("e"), F.slice("_p", 4, 1000).alias("v"))).alias("_z"))
+    """Geomagnetic coefficients unpivoted by epoch: g/h, n, m, epoch, value; the secular variation has epoch null. Each file's rows take the header of that file.
+
+    lines are (value), of one file, or (file, value); a file has one header, the first by its text where it has more.
+    """
+    lines = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    head = lines.where(F.col("value").rlike(r"^g/h\s")).groupBy("file").agg(F.split(F.trim(F.min("value")), r"\s+").alias("_h"))
+    rows = lines.where(F.col("value").rlike(r"^[gh]\s")).select("file", F.split(F.trim("value"), r"\s+").alias("_p"))
+    z = rows.join(head, "file").select(F.col("_p")[0].alias("kind"), F.col("_p")[1].cast("int").alias("n"), F.col("_p")[2].cast("int").alias("m"), F.explode(F.arrays_zip(F.slice("_h", 4, 1000).alias("e"), F.slice("_p", 4, 1000).alias("v"))).alias("_z"))
     return z.select("kind", "n", "m", F.col("_z.e").try_cast("double").alias("epoch"), F.col("_z.v").try_cast("double").alias("value"))
 
 

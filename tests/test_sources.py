@@ -186,3 +186,12 @@ def test_trace_lines_of_nulls_round_trip(spark):
     kinds = ["int", "timestamp_ntz", *["string"] * 4, *["double"] * 5, "string"]
     df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     assert sorted(map(tuple, T.trace(W.trace_lines(df, F.lit("x"))).select(*names).collect())) == rows
+
+
+def test_kind_is_told_by_the_head(spark, tmp_path):
+    from orrery.sources import files
+
+    files.register(spark)
+    (tmp_path / "x.blq").write_text("$$ Ocean loading displacement\n$$\n  ALIC\n$$ a note\n" + "".join("  .001 .002 .003 .004 .005 .006 .007 .008 .009 .010 .011\n" for _ in range(6)))
+    told = spark.read.format("gnss").option("kind", "blq").load(str(tmp_path)).collect()
+    assert told and spark.read.format("gnss").load(str(tmp_path)).collect() == told
