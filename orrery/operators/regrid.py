@@ -2,8 +2,10 @@
 
 Readings are first folded into one row per (source, slot): the first and the last usable reading of
 the slot, a map-side combined aggregate that bounds every later window by the number of grid slots,
-not of readings. Each occupied slot then meets the previous occupied one (as-of merge on both sides),
-and the slots between them are generated from that pair alone, so no dense grid is joined.
+not of readings. Each occupied slot then meets the previous occupied one (as-of merge on both sides):
+a source is cut into stretches of ``STRETCH`` slots, a window holds one stretch, and a stretch's first slot gets its
+predecessor from the last slots of the earlier stretches, of which there is one row each. The slots between a pair are generated
+from it alone, stretch by stretch, so no dense grid is joined and no array holds more than a stretch.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from orrery.session import micros
 
+#: Slots of one window; at ten minutes a slot four weeks.
+STRETCH = 4096
 FILLED, GAP, READ = "filled", "gap", "reading"
 
 
@@ -47,9 +51,15 @@ def regular_grid(
         .groupBy("_src", "_slot")
         .agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))
     )
-    w = Window.partitionBy("_src").orderBy("_slot")
-    pair = slots.select("_src", "_slot", "_first", F.lag("_slot").over(w).alias("_ps"), F.lag("_last").over(w).alias("_p"))
-    grid = pair.withColumn("_s", F.explode(F.sequence(F.coalesce(F.col("_ps") + 1, F.col("_slot")), F.col("_slot"))))
+    slots = slots.withColumn("_c", F.floor(F.col("_slot") / STRETCH))
+    w = Window.partitionBy("_src", "_c").orderBy("_slot")
+    ends = slots.groupBy("_src", "_c").agg(F.max(F.struct(F.col("_slot").alias("s"), F.col("_last").alias("r"))).alias("_e"))
+    before = ends.select(F.col("_src").alias("_bs"), F.col("_c").alias("_bc"), F.lag("_e").over(Window.partitionBy("_src").orderBy("_c")).alias("_b"))
+    pair = slots.select("_src", "_c", "_slot", "_first", F.lag(F.struct(F.col("_slot").alias("s"), F.col("_last").alias("r"))).over(w).alias("_in"))
+    pair = pair.join(before, F.col("_src").eqNullSafe(F.col("_bs")) & (F.col("_c") == F.col("_bc")), "left").withColumn("_e", F.coalesce("_in", "_b"))
+    pair = pair.select("_src", "_slot", "_first", F.col("_e.s").alias("_ps"), F.col("_e.r").alias("_p")).withColumn("_from", F.coalesce(F.col("_ps") + 1, F.col("_slot")))
+    parts = pair.withColumn("_a", F.explode(F.sequence("_from", "_slot", F.lit(STRETCH))))
+    grid = parts.withColumn("_s", F.explode(F.sequence("_a", F.least(F.col("_a") + (STRETCH - 1), F.col("_slot")))))
     at = F.col("_s") * F.lit(step)
     gap = F.col("_first.t") - F.col("_p.t")
     near = F.lit(True) if max_gap_s is None else gap <= max_gap_s * 1_000_000

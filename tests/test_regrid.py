@@ -39,3 +39,12 @@ def test_exact_slot_start_and_no_limit(spark):
 
 def test_empty(spark):
     assert grid(spark, []) == []
+
+
+def test_gaps_over_stretches(spark):
+    """A gap of two years crosses many stretches; every slot comes once, the neighbours are the true ones."""
+    got = grid(spark, [at(0, 1.0), at(10, 2.0), at(10 * 105_000, 3.0), at(0, 5.0, None)])
+    a = [g for g in got if g[0] == "A"]
+    assert len(a) == 105_001 and len({g[1] for g in a}) == len(a)
+    assert [g[2] for g in a].count("gap") == 104_998 and a[-1][2] == "reading" and a[-1][3] == (10 * 105_000 - 10) * 60
+    assert [g[2] for g in got if g[0] is None] == ["reading"]
