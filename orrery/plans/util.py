@@ -9,13 +9,13 @@ from orrery.session import table
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals, nine significant digits beyond 1000, where six decimals are more than a double holds in a sum.
+    """Six decimals, eleven significant digits from a million on, where six decimals are more than a double holds in a sum.
 
     The nudge keeps exact halves from falling either way in the two engines, the zero a negative zero.
     """
     c = F.col(c) if isinstance(c, str) else c
-    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 8)
-    return F.when(F.abs(c) >= 1000, F.round(c / p) * p).otherwise(F.round(c + 1e-9, 6) + 0.0)
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 10)
+    return F.when(F.abs(c) >= 1e6, F.round(c / p + 1e-3) * p).otherwise(F.round(c + 1e-9, 6) + 0.0)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -32,4 +32,5 @@ RESIDUALS = "(SELECT * FROM residual WHERE isfinite(postfit))"
 
 
 def q6(x: str) -> str:
-    return f"(CASE WHEN abs({x}) >= 1000 THEN round(({x}) / pow(10.0, floor(log10(abs({x}))) - 8)) * pow(10.0, floor(log10(abs({x}))) - 8) ELSE round({x} + 1e-9, 6) + 0.0 END)"
+    p = f"pow(10.0, floor(log10(abs({x}))) - 10)"
+    return f"(CASE WHEN abs({x}) >= 1e6 THEN round(({x}) / {p} + 1e-3) * {p} ELSE round({x} + 1e-9, 6) + 0.0 END)"
