@@ -15,6 +15,8 @@ from orrery.plans.util import RESIDUALS, q6, r6, residuals, rounded
 from orrery.session import micros, table
 
 QUERIES: dict = {}
+#: Variance of a code reading less its phase reading in hatch_smooth.
+_HATCH = 0.09 + 1e-4
 SQL: dict[str, str] = {}
 
 
@@ -56,7 +58,12 @@ def rts_smooth(spark, base):
     return rounded(E.kalman(table(spark, base, "events").withColumn("s", F.lit("v")).withColumn("t", micros("ts") / 86_400e6).withColumn("r", F.lit(100.0)), "user_id", "t", "s", "value", "r", kind="walk", q=10.0, smooth=True), "x", "xs")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT pos_id, site, epoch_us("Time") AS t, (dU + 10) - (dN + 10) AS a, dN + 10 AS l, row_number() OVER (PARTITION BY site ORDER BY "Time", pos_id) AS k
+      FROM pos_solution WHERE dU IS NOT NULL AND dN IS NOT NULL AND NOT isnan(dU) AND NOT isnan(dN)),
+f AS (SELECT pos_id, site, k, t, 1 AS n, a AS m, {_HATCH}::DOUBLE AS v, l FROM e WHERE k = 1
+      UNION ALL SELECT pos_id, site, k, t, n, CASE WHEN n = 1 THEN a ELSE m + (a - m) / n END, {_HATCH} / (n * n) + (1 - 1 / n::DOUBLE) * (1 - 1 / n::DOUBLE) * v, l
+      FROM (SELECT e.*, f.m, f.v, CASE WHEN e.t - f.t > 3600000000 OR abs(e.a - f.m) > 4 * sqrt(f.v + {_HATCH}) THEN 1 ELSE least(f.n + 1, 100) END AS n FROM f JOIN e ON e.site = f.site AND e.k = f.k + 1))
+SELECT pos_id, {q6("m + l")} AS smoothed FROM f""")
 def hatch_smooth(spark, base):
     """The two-measurement recursion with a station's up component as the noisy and its north component as the smooth reading."""
     p = table(spark, base, "pos_solution").where("dU IS NOT NULL AND dN IS NOT NULL AND NOT isnan(dU) AND NOT isnan(dN)").withColumn("us", micros("Time"))
@@ -230,7 +237,9 @@ def bit_slices(spark, base):
     return table(spark, base, "events").select("event_id", I.bits_unsigned(w, 54, 6).alias("u"), I.bits_signed(w, 54, 6).alias("s"), I.slug(F.concat("event_type", F.lit(" / x"))).alias("slug"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT b, CAST(b AS BIGINT) << 16 AS x, 0 AS i FROM range(256) r(b) UNION ALL SELECT b, xor(x << 1, CASE WHEN x & 8388608 <> 0 THEN 25578747 ELSE 0 END), i + 1 FROM s WHERE i < 8),
+t AS (SELECT list(x & 16777215 ORDER BY b) AS t FROM s WHERE i = 8), e AS (SELECT event_id, list_prepend(0::BIGINT, list_transform(string_split(props, ''), lambda c: ascii(c)::BIGINT)) AS b FROM events)
+SELECT event_id, CAST(list_reduce(b, lambda c, x: xor((c << 8) & 16777215, t[xor(c >> 16, x) + 1])) AS INTEGER) AS crc FROM e, t""")
 def crc24q(spark, base):
     return table(spark, base, "events").select("event_id", I.crc24q(F.encode("props", "UTF-8")).alias("crc"))
 

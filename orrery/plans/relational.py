@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -357,7 +359,12 @@ def percentile_table(spark, base):
     return rounded(A.difference_statistics(table(spark, base, "events"), ["event_type"], "value"), *c).select("event_type", "n", *c)
 
 
-@query()
+_AT = [k / 99 for k in range(100)]
+_NORMAL = ", ".join(f"({k}, {p!r}::DOUBLE, {NormalDist().inv_cdf(p)!r}::DOUBLE)" if 0 < p < 1 else f"({k}, {p!r}::DOUBLE, '{'-' if p <= 0 else ''}inf'::DOUBLE)" for k, p in enumerate(_AT))
+
+
+@query(f"""WITH n(k, p, normal) AS (VALUES {_NORMAL}), q AS (SELECT event_type, quantile_cont(value, {[float(p) for p in _AT]}) AS q FROM events WHERE NOT isnan(value) GROUP BY 1)
+SELECT event_type, CAST(k AS INTEGER) AS "at", {q6("q[k + 1]")} AS q, {q6("normal")} AS normal FROM q, n""")
 def qq_quantiles(spark, base):
     return rounded(A.qq_quantiles(table(spark, base, "events"), ["event_type"], "value"), "q", "normal")
 
@@ -383,7 +390,14 @@ def chi2_test(spark, base):
     return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "rows", "dof", r6("chi2").alias("chi2"))
 
 
-@query()
+_TAIL = 2 * (1 - NormalDist().cdf(4.0))
+_LIMITS = ", ".join(f"({k}, {A.chi2_quantile(1 - _TAIL, k)!r}::DOUBLE)" for k in range(1, 201))
+_Z = repr(NormalDist().inv_cdf(1 - _TAIL)) + "::DOUBLE"
+
+
+@query(f"""WITH t(dof, l) AS (VALUES {_LIMITS}), s AS (SELECT recv, sat, CAST(count(*) - 3 AS INTEGER) AS dof, sum(postfit * postfit / (sigma * sigma)) AS c FROM {RESIDUALS} WHERE sigma * sigma > 0 GROUP BY ALL),
+j AS (SELECT s.*, CASE WHEN s.dof > 200 THEN s.dof * pow(1 - 2 / (9.0::DOUBLE * s.dof) + {_Z} * sqrt(2 / (9.0::DOUBLE * s.dof)), 3) ELSE t.l END AS l FROM s LEFT JOIN t ON s.dof = t.dof)
+SELECT recv, sat, dof, {q6("l")} AS "limit", coalesce(c <= l, false) AS pass FROM j""")
 def chi2_pass(spark, base):
     r = residuals(spark, base, "postfit").withColumn("v", F.col("sigma") * F.col("sigma"))
     return A.chi2_test(r, ["recv", "sat"], "postfit", "v", 4).select("recv", "sat", "dof", r6("limit").alias("limit"), "pass")

@@ -15,7 +15,7 @@ def r6(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 10)
-    return F.when(F.abs(c) >= 1e6, F.round(c / p + 1e-3) * p).otherwise(F.round(c + 1e-9, 6) + 0.0)
+    return F.when((F.abs(c) >= 1e6) & (F.abs(c) < float("inf")), F.round(c / p + 1e-3) * p).otherwise(F.round(c + 1e-9, 6) + 0.0)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -33,4 +33,4 @@ RESIDUALS = "(SELECT * FROM residual WHERE isfinite(postfit))"
 
 def q6(x: str) -> str:
     p = f"pow(10.0, floor(log10(abs({x}))) - 10)"
-    return f"(CASE WHEN abs({x}) >= 1e6 THEN round(({x}) / {p} + 1e-3) * {p} ELSE round({x} + 1e-9, 6) + 0.0 END)"
+    return f"(CASE WHEN abs({x}) >= 1e6 AND NOT isinf({x}) THEN round(({x}) / {p} + 1e-3) * {p} ELSE round({x} + 1e-9, 6) + 0.0 END)"
