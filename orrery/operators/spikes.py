@@ -6,7 +6,7 @@ day, so a task holds at most one day of one series however hot the series is:
 1. summary: robust ellipsoids over value, first and second differences despike each chunk, repeated until no
    new point falls outside; the chunk emits count, mean and sum of squares of what is left, a bounded set of
    weighted centroids of all its values and the runs of equal values touching its two ends;
-2. merge: the despiked moments of all chunks of a series give its first spread, the centroids its median, which
+2. merge: the despiked moments of a series' chunks give its first spread (of the usual chunk within, of chunk means between), the centroids its median, which
    is off by less than a 32nd of a chunk's values in rank (the size of a middle group); the edge runs are joined
    across chunks, so a run over midnight is counted whole;
 3. spread: count, sum and sum of squares over all rows within k spreads, combined map side, repeated
@@ -112,6 +112,13 @@ def first_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple[flo
     return med, s
 
 
+def _middle(v: np.ndarray, weight: np.ndarray) -> float:
+    """The weighted median."""
+    order = np.argsort(v, kind="stable")
+    cum = np.cumsum(weight[order])
+    return float(v[order][np.searchsorted(cum, cum[-1] / 2)])
+
+
 def series_limits(cnt: np.ndarray, mean: np.ndarray, m2: np.ndarray, k: float) -> tuple[float, float]:
     """Median and usual spread from centroids: the standard deviation of what lies within k spreads of the median."""
     med, s = first_limits(cnt, mean, m2)
@@ -289,8 +296,8 @@ def flag_spikes(
             med, sp = first_limits(cnt, mean, m2) if len(cnt) else (np.nan, np.nan)
             dn, dm, dq = (np.array([x[c] for x in s], dtype=float) for c in ("dn", "dm", "dq"))
             if dn.sum() > 0.3 * cnt.sum():
-                mu = float((dn * dm).sum() / dn.sum())
-                clean = float(np.sqrt((dq + dn * (dm - mu) ** 2).sum() / dn.sum()))
+                # the usual chunk's spread and the usual distance of chunks from the median: a chunk gone astray moves neither
+                clean = float(np.hypot(_middle(np.sqrt(dq / np.maximum(dn, 1)), dn), 1.4826 * _middle(np.abs(dm - med), dn)))
                 sp = clean if clean > 0 else sp
             pre, post = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             for fwd in (True, False):
